@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import exact_dedup, line_dedup
+from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, token_table
 from keyloom.llm.common import documents
 
 
@@ -45,5 +45,33 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_line_dedup": op4_line_dedup}
+def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_table.write_tables(documents(spark, sf_dir), token_table.vocabulary_path())
+    return token_table.read_tables(manifest)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.media_features(media.text_media(documents(spark, sf_dir))))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_table": op3_token_table,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_media_columns": op6_media_columns,
+    "op7_language_id": op7_language_id,
+}
+# Encoding by a vocabulary, automata over texts, images and fitted models have no SQL; tests hold them against brute force.
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL}
