@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, token_table
+from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, token_table, toxicity
 from keyloom.llm.common import documents
 
 
@@ -65,6 +65,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.grade_documents(docs, model)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 # Encoding by a vocabulary, automata over texts, images and fitted models have no SQL; tests hold them against brute force.
