@@ -68,6 +68,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def rejoin(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows with what an aggregation by `on` says of their group.
+
+    The join goes by a hash of the key as well. So it deals the groups anew, by a shuffle of the small side, and adaptive execution
+    may split the rows of a large group over tasks; on the aggregation's own partitioning it can't.
+    """
+    keyed = [df.withColumn("kl_key", F.xxhash64(*on)) for df in (rows, groups)]
+    return keyed[0].join(keyed[1], ["kl_key", *on], how).drop("kl_key")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, token_table, toxicity
+from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_table, toxicity
 from keyloom.llm.common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir)).drop("text_md5")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max").drop("text_md5")
 
@@ -77,6 +81,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_table": op3_token_table,
     "op4_line_dedup": op4_line_dedup,
