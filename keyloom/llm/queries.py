@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_table, toxicity
+import corpus_pipeline
+from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, near_dedup, packing, token_table, toxicity
 from keyloom.llm.common import documents
 
 
@@ -69,6 +70,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -88,8 +93,12 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_media_columns": op6_media_columns,
     "op7_language_id": op7_language_id,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 # Encoding by a vocabulary, automata over texts, images and fitted models have no SQL; tests hold them against brute force.
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
