@@ -2,5 +2,316 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.functions.arrays import bucket_id
+from keyloom.operators.dataprep import add_traces, assign_files, column_spans, multiply
+from keyloom.operators.external import external_sort, hash_buckets, modulo_shards, sorted_position
+from keyloom.operators.row_number import number_rows, number_rows_by_owner, window_sql
+from keyloom.plans import statistics
+from keyloom.plans.query_plan import QueryPlan, build_plan
+from keyloom.sources.datasets import DatasetSpec, load
+from keyloom.streaming.delivery import packed_batches
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: A total order of lineitem's rows.
+L4 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+L4_SQL = ", ".join(L4)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def spec(sf_dir: str, table: str, node: str = "local") -> DatasetSpec:
+    return DatasetSpec(f"{sf_dir}/{table}.parquet", node_id=node)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    return load(spark, [spec(sf_dir, name)], columns)
+
+
+# Row numbers
+
+
+@query(f"SELECT {L4_SQL}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {L4_SQL}) AS row_number FROM lineitem")
+def rn_single_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem", L4), ["l_suppkey"], L4)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS row_number FROM lineitem")
+def rn_inverse_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem", L4), ["l_orderkey"], L4[1:])
+
+
+@query(f"SELECT l_shipdate, {L4_SQL}, row_number() OVER (PARTITION BY l_shipdate ORDER BY {L4_SQL}) AS row_number FROM lineitem")
+def rn_key_two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem", ["l_shipdate", *L4]), ["l_shipdate"], L4)
+
+
+@query(f"SELECT {L4_SQL}, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS row_number FROM lineitem")
+def rn_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem", L4), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS row_number FROM events")
+def rn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "events"), ["user_id"], ["ts"])
+
+
+@query("SELECT vec_id, label, len(embedding) AS n, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS row_number FROM embeddings")
+def rn_array_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = number_rows(table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"])
+    return numbered.select("vec_id", "label", F.size("embedding").cast("bigint").alias("n"), "row_number")
+
+
+@query("SELECT event_id, user_id, CASE WHEN value > 50 THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN value END NULLS LAST, event_id) AS row_number FROM events")
+def rn_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("v"))
+    return number_rows(some, ["user_id"], ["v", "event_id"])
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 > 0 THEN user_id END AS k, row_number() OVER (PARTITION BY CASE WHEN user_id % 3 > 0 THEN user_id END ORDER BY event_id) AS row_number FROM events")
+def rn_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 > 0, F.col("user_id")).alias("k"))
+    return number_rows(some, ["k"], ["event_id"])
+
+
+@query(ORACLES["rn_single_key"])
+def rn_owner_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", L4)
+    owners = rows.select("l_suppkey").distinct().withColumn("owner", F.pmod("l_suppkey", F.lit(8)))
+    return number_rows_by_owner(rows, ["l_suppkey"], L4, owners, 8)
+
+
+@query(ORACLES["rn_single_key"])
+def rn_sql_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(window_sql("{rows}", L4, ["l_suppkey"], L4), rows=table(spark, sf_dir, "lineitem", L4))
+
+
+@query(f"SELECT {L4_SQL}, row_number FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {L4_SQL}) AS row_number FROM lineitem) WHERE row_number <= 3")
+def topk_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number_rows(table(spark, sf_dir, "lineitem", L4), ["l_suppkey"], L4, top=3)
+
+
+@query(f"SELECT {L4_SQL}, row_number() OVER (PARTITION BY l_suppkey ORDER BY {L4_SQL}) AS row_number FROM lineitem WHERE l_quantity > 25")
+def rn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "lineitem", [*L4, "l_quantity"]).where("l_quantity > 25").drop("l_quantity")
+    return number_rows(some, ["l_suppkey"], L4)
+
+
+@query("SELECT count(*) AS received FROM lineitem")
+def received_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packed_batches(rn_single_key(spark, sf_dir), ["l_suppkey"], L4, limit=1000)
+    return packed.agg(F.sum("n_rows").alias("received"))
+
+
+# Sources
+
+
+@query("SELECT 'a' AS dataset_id, l_orderkey, l_linenumber, l_suppkey FROM lineitem UNION ALL SELECT 'b', l_orderkey, l_linenumber, l_suppkey FROM lineitem")
+def union_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = [DatasetSpec(f"{sf_dir}/lineitem.parquet", name, node) for name, node in (("a", "n1"), ("b", "n2"))]
+    return load(spark, pair, ["l_orderkey", "l_linenumber", "l_suppkey"], blocks=True).drop("node_id", "block_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE (event_id // 1250) % 4 = 1")
+def shard_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", ["event_id", "user_id"])
+    return rows.where(F.pmod(F.floor(F.col("event_id") / 1250), F.lit(4)) == 1)
+
+
+# Statistics
+
+LINE_STATS = "(SELECT l_partkey % 8 AS block_id, l_partkey % 4 AS node_id, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey"])
+    return statistics.block_statistics(rows, F.pmod("l_partkey", F.lit(8)), ["l_orderkey"], F.pmod("l_partkey", F.lit(4)))
+
+
+@query("SELECT event_id // 1250 AS block_id, user_id, count(*) AS count FROM events GROUP BY ALL")
+def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.block_statistics(table(spark, sf_dir, "events"), F.floor(F.col("event_id") / 1250).cast("bigint"), ["user_id"])
+
+
+@query("SELECT user_id, count(*) AS records_count FROM events GROUP BY ALL")
+def partition_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.partition_directory(block_statistics(spark, sf_dir), ["user_id"])
+
+
+@query("SELECT event_id // 1250 AS block_id, count(*) AS records_count FROM events GROUP BY ALL")
+def records_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.records_per_block(block_statistics(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total_records FROM events")
+def total_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.total_records(block_statistics(spark, sf_dir))
+
+
+@query(
+    "WITH c AS (SELECT l_partkey % 4 AS node_id, l_orderkey, count(*) AS count FROM lineitem GROUP BY ALL) "
+    "SELECT *, count / sum(count) OVER (PARTITION BY l_orderkey) AS weight FROM c"
+)
+def node_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.node_weights(line_stats(spark, sf_dir), ["l_orderkey"])
+
+
+@query(f"SELECT l_orderkey, string_agg(block_id, ',' ORDER BY block_id) AS blocks, CAST(sum(n) AS BIGINT) AS records_count FROM {LINE_STATS} GROUP BY l_orderkey")
+def block_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = statistics.block_sets(line_stats(spark, sf_dir), ["l_orderkey"])
+    return sets.select("l_orderkey", F.array_join(F.col("block_ids").cast("array<string>"), ",").alias("blocks"), "records_count")
+
+
+@query(
+    f"WITH s AS (SELECT l_orderkey, string_agg(block_id, ',' ORDER BY block_id) AS blocks, count(*) AS width, sum(n) AS n FROM {LINE_STATS} GROUP BY l_orderkey) "
+    "SELECT blocks, count(*) AS keys_count, CAST(sum(n) AS BIGINT) AS records_count, CAST(sum(n) AS DOUBLE) / width AS weight FROM s GROUP BY blocks, width"
+)
+def subset_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = statistics.subset_weights(line_stats(spark, sf_dir), ["l_orderkey"])
+    blocks = F.array_join(F.col("block_ids").cast("array<string>"), ",")
+    return weights.select(blocks.alias("blocks"), "keys_count", "records_count", "weight")
+
+
+@query("SELECT l_orderkey, count(*) AS records_count, max(l_partkey % 8) AS complete_iter FROM lineitem GROUP BY l_orderkey")
+def completion_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.completion_sequential(line_stats(spark, sf_dir), ["l_orderkey"])
+
+
+@query(
+    "WITH k AS (SELECT l_orderkey, count(*) AS n, max(l_partkey % 8) AS it FROM lineitem GROUP BY l_orderkey), "
+    "r AS (SELECT l_partkey % 8 AS iter_num, count(*) AS read_count FROM lineitem GROUP BY ALL), "
+    "c AS (SELECT it AS iter_num, sum(n) AS completed_count FROM k GROUP BY it), "
+    "b AS (SELECT iter_num, read_count, CAST(coalesce(completed_count, 0) AS BIGINT) AS completed_count FROM r LEFT JOIN c USING (iter_num)) "
+    "SELECT *, CAST(sum(read_count - completed_count) OVER (ORDER BY iter_num) AS BIGINT) AS buffered_after, "
+    "CAST(sum(read_count - completed_count) OVER (ORDER BY iter_num) + completed_count AS BIGINT) AS buffered_before FROM b"
+)
+def buffer_occupancy_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.buffer_occupancy_sequential(line_stats(spark, sf_dir), ["l_orderkey"])
+
+
+@query(
+    f"WITH f AS (SELECT block_id, node_id, l_orderkey % 4 AS owner, sum(n) AS n FROM {LINE_STATS} GROUP BY ALL), "
+    "s AS (SELECT block_id, node_id, n AS c, owner FROM f), "
+    "u AS (SELECT block_id AS iter_num, node_id, CASE WHEN owner = node_id THEN n ELSE 0 END AS o, CASE WHEN owner <> node_id THEN n ELSE 0 END AS x, 0 AS i FROM f "
+    "UNION ALL SELECT block_id, owner, 0, 0, n FROM f WHERE owner <> node_id) "
+    "SELECT iter_num, node_id, CAST(sum(o) AS BIGINT) AS own_count, CAST(sum(x) AS BIGINT) AS outgoing_count, CAST(sum(i) AS BIGINT) AS incoming_count FROM u GROUP BY ALL"
+)
+def io_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.io_split(line_stats(spark, sf_dir), F.pmod("l_orderkey", F.lit(4)))
+
+
+# Delivery and comparison
+
+
+@query("SELECT dense_rank() OVER (ORDER BY l_suppkey) AS batch_no, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def batch_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = rn_single_key(spark, sf_dir).groupBy("l_suppkey").agg(F.max("row_number").alias("n"))
+    return sorted_position(sizes, ["l_suppkey"], "batch_no")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_suppkey, l_orderkey, l_linenumber, l_partkey) AS position FROM lineitem")
+def external_sort_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"])
+    return sorted_position(rows, ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY ALL")
+def external_sort_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"])
+    return external_sort(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@query("SELECT l_suppkey % 25 AS bucket, count(*) AS rows_count, count(DISTINCT l_suppkey) AS keys_count FROM lineitem GROUP BY ALL")
+def modulo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem", ["l_suppkey"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return keys.groupBy(F.pmod("l_suppkey", F.lit(25)).alias("bucket")).agg(F.sum("n").alias("rows_count"), F.count(F.lit(1)).alias("keys_count"))
+
+
+@query("SELECT l_suppkey, count(*) AS rows_count, 1::BIGINT AS buckets FROM lineitem GROUP BY l_suppkey")
+def hash_bucket_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = hash_buckets(table(spark, sf_dir, "lineitem", ["l_suppkey"]), ["l_suppkey"], sort=False)
+    placed = dealt.withColumn("bucket", bucket_id(["l_suppkey"], 25))
+    return placed.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows_count"), F.count_distinct("bucket").alias("buckets"))
+
+
+@query("SELECT event_id % 8 AS shard, count(*) AS n FROM events GROUP BY ALL")
+def mod_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = modulo_shards(table(spark, sf_dir, "events", ["event_id"]), "event_id", 8)
+    return dealt.groupBy(F.spark_partition_id().cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Data preparation
+
+
+@query(
+    "WITH d AS (SELECT max(s_suppkey) - min(s_suppkey) + 1 AS a, max(s_nationkey) - min(s_nationkey) + 1 AS b FROM supplier) "
+    "SELECT CAST(s_suppkey + a * i AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey + b * i AS INT) AS s_nationkey, s_acctbal, CAST(i AS INT) AS part FROM supplier, d, range(0, 10) r(i)"
+)
+def multiply_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiply(table(spark, sf_dir, "supplier"), 10, ["s_suppkey", "s_nationkey"], "part")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY user_id, event_id) - 1) // 2000 AS file_no FROM events")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_files(table(spark, sf_dir, "events", ["user_id", "event_id"]), ["user_id", "event_id"], 2000).drop("user_id")
+
+
+@query("SELECT max(l_orderkey) - min(l_orderkey) AS l_orderkey, max(l_partkey) - min(l_partkey) AS l_partkey, max(l_suppkey) - min(l_suppkey) AS l_suppkey FROM lineitem")
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_spans(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
+@query("SELECT s_suppkey, 1501 AS n, true AS inside FROM supplier")
+def trace_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    traced = add_traces(table(spark, sf_dir, "supplier"))
+    inside = F.forall("TRACE", lambda x: (x >= -1000) & (x <= 1000))
+    return traced.select("s_suppkey", F.size("TRACE").alias("n"), inside.alias("inside"))
+
+
+# Plans: greedy steps over collected statistics; tests hold them against worked examples
+
+
+def line_plan(spark: SparkSession, sf_dir: str, heuristic: str, limit: int | None = None, **options: object) -> QueryPlan:
+    stats = line_stats(spark, sf_dir)
+    return build_plan(spark, [spec(sf_dir, "lineitem")], stats, ["l_orderkey"], limit, heuristic, **options)
+
+
+@query()
+def owner_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_plan(spark, sf_dir, "subsets").partitions.select("l_orderkey", "records_count", "primary_node")
+
+
+@query()
+def sequence_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_plan(spark, sf_dir, "subsets").sequence
+
+
+@query()
+def sequence_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_plan(spark, sf_dir, "random", seed=11).sequence
+
+
+@query()
+def spill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_plan(spark, sf_dir, "sequential", limit=8_000).iterations
+
+
+@query()
+def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packed_batches(rn_single_key(spark, sf_dir), ["l_suppkey"], L4, limit=2_000)
+    return packed.select("part", "batch_no", "n_rows", "n_keys")

@@ -1,0 +1,90 @@
+"""The planner against worked examples and its invariants."""
+
+import random
+
+import pytest
+
+from keyloom.plans.block_order import Block, order_blocks
+from keyloom.plans.ownership import assign_owners
+from keyloom.plans.spill import MemoryLimitError, simulate
+
+
+def example(nodes=("n1", "n1", "n1")):
+    counts = [{("A",): 2, ("B",): 1}, {("B",): 1, ("C",): 2}, {("C",): 2, ("D",): 1}]
+    return [Block(f"b{k}", node, c) for k, (node, c) in enumerate(zip(nodes, counts, strict=True))]
+
+
+def test_block_order_example():
+    steps = list(order_blocks(example(), "subsets"))
+    assert [s.block_id for s in steps] == ["b0", "b1", "b2"]
+    assert [s.score for s in steps] == [2.0, 2.0, 5.0]
+    assert [s.held_before for s in steps] == [3, 4, 5] and [s.held_after for s in steps] == [1, 2, 0]
+    assert [s.completed for s in steps] == [[("A",)], [("B",)], [("C",), ("D",)]]
+    assert sum(s.records_completed for s in steps) == 9
+
+
+def test_spill_example():
+    blocks = example()
+    steps = list(order_blocks(blocks, "subsets"))
+    owners = dict.fromkeys([("A",), ("B",), ("C",), ("D",)], "n1")
+    rounds, spills = simulate(blocks, steps, owners, 4)
+    assert [r.peak for r in rounds] == [3, 4, 4]
+    assert [(r.write_dump, r.read_dump, r.returned) for r in rounds] == [(0, 0, 2), (0, 0, 2), (2, 2, 5)]
+    assert [r.direct_return for r in rounds] == [False, False, True] and spills == {("C",): {2: 2}}
+    for none in (0, None):
+        rounds, spills = simulate(blocks, steps, owners, none)
+        assert [r.peak for r in rounds] == [3, 4, 5] and not spills
+    with pytest.raises(MemoryLimitError, match="round 2"):
+        simulate(blocks, steps, owners, 4, memory_only=True)
+
+
+def test_owner_example():
+    owners = assign_owners({"n1": {("A",): 2, ("B",): 1}, "n2": {("B",): 1, ("C",): 4, ("D",): 1}})
+    assert owners == {("A",): "n1", ("B",): "n1", ("C",): "n2", ("D",): "n2"}
+    assert assign_owners({"one": {("x",): 1, (None,): 2}}) == {("x",): "one", (None,): "one"}
+
+
+def test_merge_reload_hands_out_keys_when_room_runs_short():
+    first = {(k,): 4 for k in range(6)}
+    blocks = [Block("b0", "n", first), Block("b1", "n", {(9,): 20}), Block("b2", "n", {(k,): 1 for k in range(6)})]
+    steps = list(order_blocks(blocks, "sequential"))
+    rounds, spills = simulate(blocks, steps, {**dict.fromkeys(first, "n"), (9,): "n"}, 24, merge_batch=2)
+    assert [r.write_dump for r in rounds] == [0, 20, 0]
+    assert rounds[2].read_dump == 20 and rounds[2].returned == 30
+    assert rounds[2].merge_emits and rounds[2].peak <= 24
+
+
+@pytest.mark.parametrize("heuristic", ["sequential", "random", "subsets"])
+@pytest.mark.parametrize("seed", range(6))
+def test_invariants(heuristic, seed):
+    draw = random.Random(seed)
+    n_nodes, blocks = draw.randint(1, 4), []
+    for b in range(draw.randint(1, 12)):
+        keys = draw.sample(range(20), draw.randint(0, 10))
+        blocks.append(Block(f"b{b:02}", f"n{b % n_nodes}", {(k,): draw.randint(1, 9) for k in keys}))
+    sizes: dict = {}
+    by_node: dict = {}
+    for block in blocks:
+        for key, n in block.counts.items():
+            sizes[key] = sizes.get(key, 0) + n
+            local = by_node.setdefault(block.node_id, {})
+            local[key] = local.get(key, 0) + n
+    steps = list(order_blocks(blocks, heuristic))
+    assert sorted(s.block_id for s in steps) == [b.block_id for b in blocks]
+    assert sorted(k for s in steps for k in s.completed) == sorted(sizes)
+    node = {b.block_id: b.node_id for b in blocks}
+    for number in {s.iter_num for s in steps}:
+        used = [node[s.block_id] for s in steps if s.iter_num == number]
+        assert len(set(used)) == len(used)
+    owners = assign_owners(by_node)
+    assert set(owners) == set(sizes) and all(key in by_node[owner] for key, owner in owners.items())
+    for limit in (None, 30, 8):
+        rounds, _ = simulate(blocks, steps, owners, limit)
+        assert sum(r.returned for r in rounds) == sum(sizes.values())
+        assert sum(r.incoming for r in rounds) == sum(r.outgoing for r in rounds)
+        assert sum(r.write_dump for r in rounds) == sum(r.read_dump for r in rounds)
+
+
+def test_unknown_heuristic():
+    with pytest.raises(ValueError, match="known"):
+        list(order_blocks(example(), "other"))
