@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from keyloom.llm import exact_dedup, language_id, license_scan, line_dedup, media, mixing, near_dedup, packing, token_table, toxicity
-from keyloom.llm.common import documents
+from keyloom.llm.common import documents, pick
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = language_id.fit(docs.where(~language_id.held_out()))
+    model = language_id.fit(pick(docs, "doc_id", "text", "lang").where(~language_id.held_out()))
     found = language_id.identify(docs, model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 

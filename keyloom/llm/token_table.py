@@ -198,8 +198,9 @@ class TokenTable:
             self.file.read_at(FOOTER.size, size - FOOTER.size)
         )
         head = self.file.read_at(len(MAGIC) + 1, 0)
-        index, self.bloom = self.file.read_at(index_n, index_at), self.file.read_at(bloom_n, bloom_at)
-        if magic != MAGIC or head[:-1] != MAGIC or check != zlib.crc32(self.bloom, zlib.crc32(index)):
+        whole = magic == MAGIC and head[:-1] == MAGIC and bloom_at + bloom_n + FOOTER.size == size
+        index, self.bloom = (self.file.read_at(index_n, index_at), self.file.read_at(bloom_n, bloom_at)) if whole else (b"", b"")
+        if not whole or check != zlib.crc32(self.bloom, zlib.crc32(index)):
             raise ValueError(f"{uri} is no whole token table")
         self.dtype = np.dtype(f"<u{head[-1]}")
         step = len(table_key(0)) + 16
