@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.arrays import bucket_id
 from keyloom.operators.dataprep import add_traces, assign_files, column_spans, multiply
 from keyloom.operators.external import external_sort, hash_buckets, modulo_shards, sorted_position
+from keyloom.operators.keysets import completed_groups, look_up, with_keys, without_keys
 from keyloom.operators.row_number import number_rows, number_rows_by_owner, window_sql
 from keyloom.plans import statistics
 from keyloom.plans.query_plan import QueryPlan, build_plan
@@ -215,6 +216,37 @@ def io_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.io_split(line_stats(spark, sf_dir), F.pmod("l_orderkey", F.lit(4)))
 
 
+@query("SELECT l_partkey % 8 AS block_id, count(DISTINCT l_orderkey) AS keys_count FROM lineitem GROUP BY ALL")
+def keys_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_stats(spark, sf_dir).groupBy("block_id", "l_orderkey").count().groupBy("block_id").agg(F.count(F.lit(1)).alias("keys_count"))
+
+
+@query(
+    "SELECT it AS complete_iter, count(*) AS keys_count, CAST(sum(n) AS BIGINT) AS records_count "
+    "FROM (SELECT l_orderkey, count(*) AS n, max(l_partkey % 8) AS it FROM lineitem GROUP BY l_orderkey) GROUP BY it"
+)
+def completed_by_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completed_groups(completion_sequential(spark, sf_dir))
+
+
+@query(f"SELECT {L4_SQL} FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def rows_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return with_keys(table(spark, sf_dir, "lineitem", L4), rich, ["l_suppkey"])
+
+
+@query(f"SELECT {L4_SQL} FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def rows_of_other_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return without_keys(table(spark, sf_dir, "lineitem", L4), rich, ["l_suppkey"])
+
+
+@query("SELECT l_orderkey, l_partkey, max(l_partkey % 8) OVER (PARTITION BY l_orderkey) AS complete_iter FROM lineitem")
+def completion_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"])
+    return look_up(rows, completion_sequential(spark, sf_dir), ["l_orderkey"], "complete_iter")
+
+
 # Delivery and comparison
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,3 +129,16 @@ def shard_files(spark: SparkSession, spec: DatasetSpec, shard: int, shards: int)
 def block_files(df: DataFrame) -> DataFrame:
     """file_path, file_size of each file that a scan reads."""
     return df.select("_metadata.file_path", "_metadata.file_size").distinct()
+
+
+def read_blocks(spark: SparkSession, spec: DatasetSpec, files: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Some files of the dataset, the given columns only."""
+    out = FORMATS[spec.dataset_type](spark, spec.path, spec.options).limit(0) if not files else spark.read.format(spec.dataset_type).options(**spec.options).load(files)
+    return out if columns is None else out.select(*columns)
+
+
+def file_groups(spark: SparkSession, spec: DatasetSpec, size: int, columns: list[str] | None = None) -> Iterator[DataFrame]:
+    """The dataset in groups of `size` files, in the listing's order, each a lazy table."""
+    files = list_files(spark, spec)
+    for at in range(0, len(files), size):
+        yield read_blocks(spark, spec, files[at : at + size], columns)

@@ -12,7 +12,7 @@ from keyloom.operators.external import save_presorted, sorted_position
 from keyloom.operators.row_number import number_rows, number_rows_by_owner
 from keyloom.plans.query_plan import PlanTooLarge, QueryPlan
 from keyloom.query import ExecOptions, OrderedQuery
-from keyloom.sources.datasets import DatasetSpec, check_specs, list_files, load, shard_files
+from keyloom.sources.datasets import DatasetSpec, check_specs, file_groups, list_files, load, read_blocks, shard_files
 from keyloom.streaming.delivery import batches, packed_batches
 
 ROWS = [("a", 3.0, 1), ("a", None, 2), ("a", float("nan"), 3), ("a", 1.0, 4), (None, 5.0, 5), (None, 4.0, 6), ("b", 0.0, 7)]
@@ -84,6 +84,7 @@ def test_sources(spark, files):
     blocks = load(spark, [spec], ["SOURCE_POINT_NUMBER"], blocks=True)
     assert blocks.select("block_id").distinct().count() == 8
     assert list_files(spark, DatasetSpec(names[0])) == [names[0]]
+    assert [g.count() for g in file_groups(spark, spec, 5, ["TRACE"])] == [625, 375] and read_blocks(spark, spec, []).count() == 0
 
 
 def test_ordered_query(spark, files):
