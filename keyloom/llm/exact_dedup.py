@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import texts
+from keyloom.llm.common import rejoin, texts
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
         .alias("group_size"),
     )
     hashed = rows.select("doc_id", "text_md5", F.sha2("text", 256).alias("text_sha256"))
-    return hashed.join(groups, ["text_md5", "text_sha256"]).select(
+    return rejoin(hashed, groups, ["text_md5", "text_sha256"]).select(
         "doc_id",
         "keep_id",
         "group_size",
