@@ -173,14 +173,22 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives that share a band: each with the smallest and the largest id of its band.
+    """Pairs (a, b), a < b, of representatives that share a band: each with the hub, the smallest and the largest id of its bands.
 
-    So a band of any size gives two pairs for each member at most; the links of a class are
-    chained by its bands. Band sizes are counted partly before the shuffle, and the join back may be split at large bands.
+    A band's hub is the member whose own bands hold the most members: in a group of copies made from one text, that text, which is near
+    to all of them even where they aren't near to each other. So a band of any size gives three pairs for each member at
+    most. Band sizes and hubs are aggregated partly before the shuffle, and the joins back may be split at large bands.
     """
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    pairs = rejoin(banded, shared, ["band"]).select("rep", F.explode(F.array("low", "high")).alias("other")).where("rep <> other")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = settled(rejoin(banded, sizes, ["band"]))
+    degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = rejoin(shared.select("rep", "band"), degree, ["rep"])
+    ends = ranked.groupBy("band").agg(
+        F.max(F.struct("degree", (-F.col("rep")).alias("id"))).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")
+    )
+    ends = ends.select("band", F.array_distinct(F.array(-F.col("hub.id"), "low", "high")).alias("others"))
+    pairs = rejoin(shared.select("rep", "band"), ends, ["band"]).select("rep", F.explode("others").alias("other")).where("rep <> other")
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 

@@ -1,6 +1,7 @@
 """Exact, line and near deduplication against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -111,6 +112,24 @@ def test_chains_of_near_copies(spark):
     assert got == dict(brute_classes(rows)) and got[100] == got[89] == 89 and got[500] == 500
 
 
+def test_copies_that_are_near_to_their_source_alone(spark):
+    draw = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for at in draw.sample(range(0, 300, 6), 5):
+            copy[at] = f"c{k}x{at}"
+        rows.append((k + 1000 * (k >= 60), " ".join(copy)))
+    rows.append((500, " ".join(base)))  # its id is neither the smallest nor the largest
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    assert all(near_dedup.similarity(s, sets[-1]) > 0.8 for s in sets[:-1])
+    assert np.mean([near_dedup.similarity(sets[0], s) >= 0.8 for s in sets[1:-1]]) < 0.1
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table).collect()}
+    assert set(got.values()) == {0} and len(got) == 121
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (103, 101), (7, 7)]
     got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
