@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import map_columns, pick, small_batches, texts
+from keyloom.llm.common import map_columns, pick, settled, small_batches, texts
 from keyloom.llm.license_scan import words_of
 
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features
     if total > sample_docs:
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(sample_docs / total * 1_000_000))
     rows = texts(docs).join(F.broadcast(marked), "doc_id").groupBy(F.md5("text").alias("key")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = rows.select("text", "toxic")
+    rows = settled(rows.select("text", "toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, toxic = sum(sizes.values()), sum(c for yes, c in sizes.items() if yes)
     if not toxic or toxic == n:
