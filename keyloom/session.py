@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -25,3 +27,14 @@ def build_session(master: str | None = None, app: str = "keyloom", **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever folder they start in.
+
+    Where it is installed, or shipped with the job, that changes nothing.
+    """
+    environment = spark.sparkContext.environment
+    root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        environment["PYTHONPATH"] = f"{root}:{known}" if known else root

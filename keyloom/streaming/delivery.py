@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from keyloom.operators.row_number import ordering
+from keyloom.session import importable
 
 PACKED = "part int, batch_no bigint, n_rows bigint, n_keys bigint, payload binary"
 
@@ -80,6 +81,7 @@ def packed_batches(df: DataFrame, keys: list[str], order_by: list[str] = (), lim
 
     Rows come sorted by key and order, the exchange and sort of a numbered input are used again.
     """
+    importable(df.sparkSession)
     arranged = df.repartition(*keys).sortWithinPartitions(*ordering([*keys, *order_by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
