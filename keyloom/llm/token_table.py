@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyloom.llm.common import settled, shared_folder, shuffle_width, small_batches, texts
+from keyloom.session import importable
 
 MAGIC = b"KLSST\x00\x01\n"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length; filter at, length; documents; ids; crc32 of index and filter; magic
@@ -30,7 +31,8 @@ MANIFEST = "path string, first_key binary, n_docs long, n_ids long, n_bytes long
 
 # Fixed value: the published pre-tokenization pattern of byte-level BPE vocabularies of this kind.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-LONE_SPACE = re.compile(r"\s\s|^\s|\s$")
+# Fixed value: the ASCII signs.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> list[str]:
@@ -43,45 +45,73 @@ def _byte_letters() -> list[str]:
 class WordEncoder:
     """Ids of texts by a byte-level BPE vocabulary; words that come again are looked up.
 
-    A text is cut at each single blank or newline between two characters that are no white space; there the
-    pre-tokenizer always ends a piece, and the blank belongs to the piece after it. Such words are encoded once by the library's
-    model and kept, `limit` of them at most. Texts in which white space touches white space, or that begin or
-    end with it, are cut by the whole pattern. Special tokens in a text are ordinary text.
+    Where each blank or newline stands alone between two words, the pre-tokenizer ends a piece before it, and a
+    blank belongs to the piece after it. So such a text is cut by str.split, which knows all white space that the pattern
+    knows; each word is encoded once by the library's model and kept, `limit` words at most, and half as many with
+    signs at their end. Other texts are cut by the pattern. Special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
         self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.letters = str.maketrans({b: c for b, c in enumerate(_byte_letters()) if chr(b) != c})
-        self.limit = limit
-        self.words: dict[str, bytes] = {}
+        self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
+        self.code, self.blank = "H" if self.dtype.itemsize == 2 else "I", self.letters[32]
+        self.limit, self.signed = limit, 0
+        self.words: dict[str, bytes] = {}  # after a blank
+        self.pieces: dict[str, bytes] = {}  # as they stand
+        self.newline = self.piece("\n")
 
     def piece(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        """Ids of what the pre-tokenizer gives as one piece."""
+        return self.model_ids(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+
+    def model_ids(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            parts = PIECES.findall(word)
-            found = self.piece(word) if len(parts) == 1 else b"".join([self.word(p) for p in parts])
-            if len(self.words) < self.limit:
-                self.words[word] = found
+        """Ids of a word without white space after a blank."""
+        if (found := self.words.get(word)) is not None:
+            return found
+        if word.isalpha():
+            found = self.model_ids(self.blank + word) if word.isascii() else self.piece(f" {word}")
+            keep = len(self.words) - self.signed < self.limit
+        else:
+            stem = word.rstrip(SIGNS)
+            found = self.word(stem) + self.plain(word[len(stem) :]) if stem.isalpha() else self.plain(f" {word}")
+            keep = self.signed < self.limit // 2
+            self.signed += keep
+        if keep:
+            self.words[word] = found
         return found
 
-    def __call__(self, text: str) -> bytes:
-        if LONE_SPACE.search(text):
-            return b"".join([self.word(p) for p in PIECES.findall(text)])
-        get, out = self.words.get, []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.word("\n"))
-            first, *rest = line.split(" ")
-            for word in (first, *[f" {w}" for w in rest]):
-                out.append(get(word) or self.word(word))
+    def plain(self, text: str) -> bytes:
+        """Ids of any text, by the pattern."""
+        out = []
+        for piece in PIECES.findall(text):
+            found = self.pieces.get(piece)
+            if found is None:
+                found = self.piece(piece)
+                if len(self.pieces) < self.limit // 4:
+                    self.pieces[piece] = found
+            out.append(found)
         return b"".join(out)
 
+    def __call__(self, text: str) -> bytes:
+        words, starts, at = text.split(), [], 0
+        for line in text.split("\n"):
+            starts.append(at)
+            at += line.count(" ") + 1
+        if at != len(words) or len("".join(words)) + at - 1 != len(text):  # white space of other kinds or in runs
+            return self.plain(text)
+        found = list(map(self.words.get, words))
+        for start in starts:
+            first = self.plain(words[start])
+            found[start] = self.newline + first if start else first
+        if None in found:
+            found = [self.word(w) if f is None else f for f, w in zip(found, words, strict=True)]
+        return b"".join(found)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -296,6 +326,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
 
     start counts the ids of all documents before it. No documents give no rows.
     """
+    importable(manifest.sparkSession)
     before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
