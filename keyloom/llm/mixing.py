@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +11,10 @@ from keyloom.llm.common import pick, settled
 
 #: Most blocks of a source (a power of two), and documents that a block of a small source has.
 MAX_BLOCKS, BLOCK_DOCS = 4096, 16
-#: Sources up to which their table is broadcast, and up to which the tree is drawn at all.
-BROADCAST_SOURCES, TREE_SOURCES = 100_000, 1_000_000
+#: Documents of one sorted part of a shard, about.
+PART_DOCS = 50_000
+#: Sources up to which their table is broadcast, and sources that share one tree; each further so many have a tree of their own.
+BROADCAST_SOURCES, TREE_SOURCES = 20_000, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +37,7 @@ def _position(seat: Column, source: dict[str, Column]) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
-    """source, n_docs, source_size, target of a table (source, size); one row per source, null being one.
+    """source, place, n_docs, source_size, target of a table (source, size); one row per source, null being one.
 
     In code point order, null last, the sources weigh `weights`, repeating. They share the sum of all sizes by
     weight; none gets more than cap times its size, and what is above goes to the others by weight until
@@ -44,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank, F.lit(len(weights))) + 1)
-    weighed = totals.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
+    weighed = totals.withColumn("place", rank.cast("long")).withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
     by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.asc_nulls_last("source"))
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -55,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
     water = F.max(fits).over(everything)
     target = F.least(F.col("most"), F.coalesce(water * F.col("weight"), F.col("most")))
-    return levels.select("source", "n_docs", "source_size", target.alias("target"))
+    return levels.select("source", "place", "n_docs", "source_size", target.alias("target"))
 
 
 def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
@@ -87,8 +90,8 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
 
     A source's documents are dealt to blocks by hash, and each block's words are counted before any is drawn. The
     target fixes the block quota: whole passes over all blocks, then permuted blocks up to the one
-    that the target ends in, of which documents are taken by seat to the nearest one. What the driver
-    holds grows with sources times shards alone.
+    that the target ends in, of which documents are taken by seat to the nearest one. The tree is drawn in
+    one task, over blocks' numbers alone.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), _seat(seed, F.col("doc_id"), F.col("text")).alias("seat"))
@@ -97,16 +100,13 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     want = F.pow(2, F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n_docs") / BLOCK_DOCS))))
     epochs = F.when(F.col("source_size") > 0, F.least(F.lit(int(cap)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
     shaped = targets.select(
-        "source", "source_size", "target",
+        "source", "place", "source_size", "target",
         F.least(want, F.lit(MAX_BLOCKS)).cast("long").alias("n_blocks"),
         F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source"), 40).bitwiseOR(F.lit(1)).cast("long").alias("factor"),
         F.shiftrightunsigned(F.xxhash64("source", F.lit(seed)), 40).cast("long").alias("offset"),
         epochs.cast("long").alias("epochs"),
     )
     shaped = settled(shaped.withColumn("extra", F.col("target") - F.col("epochs") * F.col("source_size")))
-    n_sources = shaped.count()
-    if n_sources > TREE_SOURCES:
-        raise ValueError(f"{n_sources} sources are too many for one mixing tree; merge the small ones")
     joined = _with_source(narrow, shaped)
     placed = joined.withColumn("position", _position(F.col("seat"), _columns()))
     blocks = placed.groupBy("source", "position").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
@@ -132,11 +132,15 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
         .withColumn("quota", F.col("epochs") * F.col("n_blocks") + F.col("full") + F.col("cut").isNotNull().cast("long"))
         .drop("full_source", "cut_source", "extra")
     )
-    quotas = plan.select("source", "quota").orderBy(F.asc_nulls_last("source")).collect()
-    ends = split_quotas([q.quota for q in quotas], n_shards, seed).cumsum(axis=0)
-    table = [(q.source, ends[:, k].tolist()) for k, q in enumerate(quotas)]
-    dealt = spark.createDataFrame(table, "end_source string, ends array<long>")
-    return plan.join(F.broadcast(dealt), F.col("source").cast("string").eqNullSafe(F.col("end_source"))).drop("end_source"), narrow
+
+    def draw(quotas: pd.DataFrame) -> pd.DataFrame:
+        quotas = quotas.sort_values("place")
+        ends = split_quotas(quotas["quota"].tolist(), n_shards, seed + int(quotas["tree"].iloc[0])).cumsum(axis=0)
+        return pd.DataFrame({"place": quotas["place"].to_numpy(), "ends": list(ends.T)})
+
+    trees = plan.select("place", "quota", F.floor(F.col("place") / TREE_SOURCES).alias("tree"))
+    dealt = trees.groupBy("tree").applyInPandas(draw, "place long, ends array<long>")
+    return settled(plan.join(dealt, "place").drop("place", "quota")), narrow
 
 
 def _columns() -> dict[str, Column]:
@@ -184,15 +188,18 @@ def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, n_shards: int = 64, seed: int = 7) -> DataFrame:
     """The mixed table: documents with their columns as they were, as often as the mix takes them.
 
-    Partition k holds shard k, in pseudo-random order.
+    Shards lie one after another, each in pseudo-random order. A large shard is cut by ranges of that order to parts of
+    about PART_DOCS documents, neighbouring partitions, so a partition stays small whatever the table's size.
     """
-    plan, _ = mixing_plan(docs, weights, cap, n_shards, seed)
+    plan, narrow = mixing_plan(docs, weights, cap, n_shards, seed)
+    parts = max(1, -(-narrow.count() // (n_shards * PART_DOCS)))
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc_id, source, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text"))
     seated = _with_source(plain.withColumn("seat", _seat(seed, doc_id, text)).withColumn("source", source), plan)
     drawn = seated.withColumn("copies", _copies(F.col("seat"))).where("copies > 0")
     drawn = drawn.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
-    dealt = drawn.withColumn("shard", _shard(F.col("seat"), F.col("epoch"))).withColumn("turn", F.xxhash64("seat", "epoch"))
-    placed = dealt.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("turn", "seat")
+    dealt = drawn.withColumn("shard", _shard(F.col("seat"), F.col("epoch"))).withColumn("turn", F.shiftrightunsigned(F.xxhash64("seat", "epoch"), 1))
+    part = F.shiftright(F.shiftrightunsigned("turn", 32) * parts, 31)
+    placed = dealt.repartitionById(n_shards * parts, (F.col("shard") * parts + part).cast("int")).sortWithinPartitions("turn", "seat")
     return placed.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)

@@ -164,6 +164,17 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
+def test_many_sources_have_several_trees(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TREE_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    table = spark.range(2000).selectExpr("id AS doc_id", "concat('s', id % 11) AS source", "repeat('w ', 1 + int(id % 7)) AS text")
+    found = mixing.mix_counts(table, n_shards=4).collect()
+    assert len(found) == 2000 and {s for r in found for s in r.shards} == {0, 1, 2, 3}
+    for source in {r.source for r in found}:
+        group = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in group) - group[0].target) <= 7
+
+
 def test_splitting_tree():
     quotas = [17, 0, 300, 4]
     shares = mixing.split_quotas(quotas, 10, 3)
