@@ -15,7 +15,7 @@ from keyloom.llm.mixing import word_count
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents that are packed together, about; what one task holds.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 50_000
 COLUMNS = "doc_id long, chunk long, start long, length long, bin_id long, bin_offset long, capacity long"
 
 
