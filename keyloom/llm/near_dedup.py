@@ -16,6 +16,10 @@ SLOTS, BANDS = 192, 32
 WORDS = 5
 #: Bytes of text that one numpy pass may hold, over several documents or one long one.
 PASS_BYTES = 1 << 19
+#: Members and shingles of a band that one block may hold about, and shingles in one product of matrices.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1_000_000, 2048
+#: Room for rounding in float32 sums; exact verification follows.
+SLACK = 1e-3
 # Odd 64-bit constants of the splitmix generator and of the polynomial hash.
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x100000001B3
@@ -147,17 +151,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_md5, bands of every document; no bands where a text has no word."""
+    """doc_id, text_md5, bands, size (number of shingles) of every document; no bands where a text has no word."""
 
     def run(batch: dict[str, list]) -> Iterator[dict[str, object]]:
         n = len(batch["text"])
         bands: list[object] = [[] for _ in range(n)]
+        sizes = [0] * n
         todo: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
         held = 0
         for k, text in enumerate(batch["text"]):
             found = shingles(text)
             if len(found[0]):
                 todo.append((k, found))
+                sizes[k] = len(found[0])
                 held += len(found[0]) + 6 * SLOTS
             if todo and (held > 200_000 or k == n - 1):
                 for (row, _), hashes in zip(todo, band_hashes(signatures([s for _, s in todo])), strict=True):
@@ -166,10 +172,10 @@ def _signed(docs: DataFrame) -> DataFrame:
         if todo:
             for (row, _), hashes in zip(todo, band_hashes(signatures([s for _, s in todo])), strict=True):
                 bands[row] = hashes
-        yield {"doc_id": batch["doc_id"], "text_md5": batch["text_md5"], "bands": bands}
+        yield {"doc_id": batch["doc_id"], "text_md5": batch["text_md5"], "bands": bands, "size": sizes}
 
     rows = texts(docs).select("doc_id", F.unhex(F.md5("text")).alias("text_md5"), "text")
-    return map_columns(rows, "doc_id long, text_md5 binary, bands array<long>", run)
+    return map_columns(rows, "doc_id long, text_md5 binary, bands array<long>, size long", run)
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
     A band's hub is the member whose own bands hold the most members: in a group of copies made from one text, that text, which is near
     to all of them even where they aren't near to each other. So a band of any size gives three pairs for each member at
-    most. Band sizes and hubs are aggregated partly before the shuffle, and the joins back may be split at large bands.
+    most; _rest compares what these leave in different classes. Band sizes and hubs are aggregated partly before the shuffle, and the joins back may be split at large bands.
     """
     banded = reps.select("rep", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -192,9 +198,8 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact similarity is at least the threshold; texts travel once to each of their pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _packed(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, hashes, counts: the shingles of the representatives in wanted (id)."""
     rows = texts(docs).withColumn("text_md5", F.unhex(F.md5("text")))
     named = reps.join(wanted, F.col("rep") == F.col("id")).select("id", F.col("text_md5").alias("id_md5"))
     held = rows.join(named, (F.col("doc_id") == F.col("id")) & (F.col("text_md5") == F.col("id_md5")))
@@ -204,7 +209,11 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, threshold: flo
         found = [shingles(t) for t in batch["text"]]
         yield {"id": batch["id"], "hashes": [h.tobytes() for h, _ in found], "counts": [c.astype("<u4").tobytes() for _, c in found]}
 
-    packed = settled(map_columns(held, "id long, hashes binary, counts binary", pack).dropDuplicates(["id"]))
+    return settled(map_columns(held, "id long, hashes binary, counts binary", pack).dropDuplicates(["id"]))
+
+
+def _verified(packed: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact similarity is at least the threshold; shingles travel once to each of their pairs."""
     left = packed.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = packed.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
     paired = pairs.join(left, "a").join(right, "b")
@@ -246,6 +255,137 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
+def _counted(keys: list[np.ndarray], values: list[list[np.ndarray]], left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
+    """For each (x, y) in values: the sum over shared keys of x times y, for all left and right rows, by products of incidence matrices."""
+    n = len(keys)
+    row = np.repeat(np.arange(n), [len(k) for k in keys])
+    _, column, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times[column] > 1)
+    order = often[np.argsort(column[often], kind="stable")]
+    _, column = np.unique(column[order], return_inverse=True)
+    width = int(column[-1]) + 1 if len(column) else 0
+    sums = [np.zeros((len(left), len(right)), np.float32) for _ in values]
+    for at in range(0, width, COLUMNS):
+        some = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        made: dict[int, np.ndarray] = {}
+        for total, pair in zip(sums, values, strict=True):
+            for v in pair:
+                if id(v) not in made:
+                    made[id(v)] = np.zeros((n, min(COLUMNS, width - at)), np.float32)
+                    made[id(v)][row[order[some]], column[some] - at] = v[order[some]]
+            total += made[id(pair[0])][left] @ made[id(pair[1])][right].T
+    return sums
+
+
+def open_pairs(classes: np.ndarray, bands: list[np.ndarray], blocks: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the lower block and of the higher, or of the one that there is twice, and which of their pairs this band has to compare.
+
+    A pair is compared in the smallest band that it shares, and unless it is in one class already.
+    """
+    left, right = (np.flatnonzero(blocks == b) for b in (blocks.min(), blocks.max()))
+    need = classes[left][:, None] != classes[right][None, :]
+    if blocks.min() == blocks.max():
+        need &= left[:, None] < right[None, :]
+    if need.any():
+        earlier = [b[b < band] for b in bands]
+        one = np.ones(sum(map(len, earlier)), np.float32)
+        need &= _counted(earlier, [[one, one]], left, right)[0] == 0
+    return left, right, need
+
+
+def block_links(
+    ids: np.ndarray, classes: np.ndarray, bands: list[np.ndarray], sets: list[tuple[np.ndarray, np.ndarray]], blocks: np.ndarray, band: int, threshold: float
+) -> list[tuple[int, int]]:
+    """Links that join classes, of all open pairs of a band's members in two blocks, or in the one that there is.
+
+    Shared shingles, and the weight that they have in either text, are counted for all pairs at once. Both similarities
+    are bounded by them: the plain one is known, and the probability Jaccard is at most the smaller share of weight that
+    is shared, and the plain one where no shingle repeats. Pairs within the bounds are verified exactly.
+    """
+    left, right, need = open_pairs(classes, bands, blocks, band)
+    if not need.any():
+        return []
+    root = {c: c for c in classes.tolist()}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    one = np.ones(sum(len(h) for h, _ in sets), np.float32)
+    mass = np.concatenate([weights(c) / weights(c).sum() for _, c in sets]).astype(np.float32)
+    shared, mass_left, mass_right = _counted([h for h, _ in sets], [[one, one], [mass, one], [one, mass]], left, right)
+    sizes = np.array([len(h) for h, _ in sets], np.float32)
+    repeats = np.array([c.max(initial=1) > 1 for _, c in sets])
+    near = shared >= (threshold - SLACK) * (sizes[left][:, None] + sizes[right][None, :] - shared)
+    weighed = (np.minimum(mass_left, mass_right) >= threshold - SLACK) & (repeats[left][:, None] | repeats[right][None, :])
+    links = []
+    for i, j in zip(*np.nonzero(need & (near | weighed)), strict=True):
+        x, y = left[i], right[j]
+        a, b = find(int(classes[x])), find(int(classes[y]))
+        if a != b and similarity(sets[x], sets[y]) >= threshold:
+            root[a] = b
+            links.append((int(ids[x]), int(ids[y])))
+    return links
+
+
+def _rest(packed: DataFrame, reps: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes in parts (id, component): all pairs that share a band and are in different ones are compared.
+
+    packed holds the members of all shared bands. Bands of up to three members have had all their pairs compared. A larger band with several classes is cut into blocks of
+    bounded rows and shingles, and each pair of blocks is one group, so that no task holds a whole band, whatever its size.
+    Members go to a group with their bands first, and with their shingles only where they have a pair to be compared in it.
+    """
+    sharing = reps.select(F.col("rep").alias("id"), "bands", "size").join(packed.select("id"), "id", "left_semi")
+    classed = rejoin(sharing, parts, ["id"], "left").withColumn("class", F.coalesce("component", "id"))
+    banded = settled(classed.select("id", "class", "size", F.explode("bands").alias("band")))
+    mixed = banded.groupBy("band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("class").alias("low"),
+        F.max("class").alias("high"),
+    )
+    open_ = mixed.where("n > 3 AND low < high").select("band", "blocks")
+    members = settled(rejoin(banded.select("id", "band"), open_, ["band"]))
+    if members.isEmpty():
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    named = settled(classed.select("id", "class", "bands").join(members.select("id").distinct(), "id", "left_semi"))
+    placed = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(41)), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "band", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def parts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, int]:
+        ids, classes, blocks = (table.column(c).to_numpy() for c in ("id", "class", "block"))
+        return ids, classes, [np.array(b, np.int64) for b in table.column("bands").to_pylist()], blocks, table.column("band")[0].as_py()
+
+    def whole(table: pa.Table) -> bool:
+        """Whether both blocks have rows."""
+        return table.column("x")[0] == table.column("y")[0] or len(table.column("block").unique()) == 2
+
+    def ask(table: pa.Table) -> pa.Table:
+        asked = np.zeros(table.num_rows, bool)
+        if whole(table):
+            _, *rest = parts_of(table)
+            left, right, need = open_pairs(*rest)
+            asked[left[need.any(axis=1)]] = True
+            asked[right[need.any(axis=0)]] = True
+        return table.select(["id", "band", "block", "x", "y"]).filter(pa.array(asked))
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = []
+        if whole(table):
+            ids, classes, bands, blocks, band = parts_of(table)
+            held = zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True)
+            sets = [(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")) for h, c in held]
+            links = block_links(ids, classes, bands, sets, blocks, band, threshold)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    wanted = dealt.join(named, "id").groupBy("band", "x", "y").applyInArrow(ask, "id long, band long, block int, x int, y int")
+    rows = settled(wanted).join(named, "id").join(packed, "id")
+    return rows.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long")
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept, text_md5.
 
@@ -257,10 +397,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     small_batches(docs.sparkSession, 256)
     signed = settled(_signed(docs))
-    node = signed.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    node = signed.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"))
     reps = settled(node.where("rep IS NOT NULL"))
-    links = _verified(docs, reps, settled(_candidates(reps)), threshold)
-    parts = components(links)
+    pairs = settled(_candidates(reps))
+    packed = _packed(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    links = _verified(packed, pairs, threshold)
+    parts = settled(components(links))
+    more = settled(_rest(packed, reps, parts, threshold))
+    if not more.isEmpty():
+        parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     classes = reps.select("rep", "text_md5").join(parts, F.col("rep") == F.col("id"), "left")
     classes = classes.select("text_md5", F.coalesce("component", "rep").alias("class_id"))
     rows = settled(rejoin(signed.select("doc_id", "text_md5"), classes, ["text_md5"], "left"))

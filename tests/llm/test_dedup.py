@@ -130,6 +130,51 @@ def test_copies_that_are_near_to_their_source_alone(spark):
     assert set(got.values()) == {0} and len(got) == 121
 
 
+def boilerplate(pairs, alone, words=300, own=44, shared=10):
+    """Texts with one passage in common, none near to another but each with its partner; partners have neighbouring places."""
+    passage = [f"p{k}" for k in range(words)]
+    rows = []
+    for k in range(alone + 2 * pairs):
+        mine = [f"o{k}x{j}" for j in range(own)]
+        if k >= alone and (k - alone) % 2:
+            mine = [f"o{k - 1}x{j}" for j in range(shared)] + [f"q{k}x{j}" for j in range(own - shared)]
+        rows.append((k * 7919 % 100_003, " ".join(passage + mine)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 50])
+def test_pairs_inside_a_boilerplate_family(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    rows = boilerplate(60, 80)
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) == 140
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(table).collect()) == sorted(want)
+
+
+def test_copies_of_a_source_that_is_absent(spark):
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(200):
+        copy = list(base)
+        for at in draw.sample(range(0, 300, 6), 4):
+            copy[at] = f"c{k}x{at}"
+        rows.append((k * 7919 % 100_003, " ".join(copy)))
+    bands = near_dedup.band_hashes(near_dedup.signatures([near_dedup.shingles(t) for _, t in rows]))
+    want = brute_classes(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(table).collect()}
+    # every link whose texts share a band is in one class, and no class joins what isn't linked
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if (bands[a] == bands[b]).any() and near_dedup.similarity(sets[a], sets[b]) >= 0.8:
+                assert got[rows[a][0]] == got[rows[b][0]]
+    best = dict(want)
+    assert all(best[i] == best[c] for i, c in got.items())
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 103), (103, 101), (7, 7)]
     got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
