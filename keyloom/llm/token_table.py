@@ -48,12 +48,15 @@ class WordEncoder:
     Where each blank or newline stands alone between two words, the pre-tokenizer ends a piece before it, and a
     blank belongs to the piece after it. So such a text is cut by str.split, which knows all white space that the pattern
     knows; each word is encoded once by the library's model and kept, `limit` words at most, and half as many with
-    signs at their end. Other texts are cut by the pattern. Special tokens in a text are ordinary text.
+    signs at their end. Other texts are cut by the pattern. With `added`, a text that holds one of the tokenizer's added
+    tokens is encoded by the library as a whole, which knows that token; without, added tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000, added: bool = False) -> None:
         tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
         self.code, self.blank = "H" if self.dtype.itemsize == 2 else "I", self.letters[32]
@@ -98,6 +101,9 @@ class WordEncoder:
         return b"".join(out)
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            known = text.encode("utf-8", "replace").decode()
+            return array(self.code, self.tokenizer.encode(known, add_special_tokens=False).ids).tobytes()
         words, starts, at = text.split(), [], 0
         for line in text.split("\n"):
             starts.append(at)
@@ -119,7 +125,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary and Python worker, so that words stay known between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, added=True)
     return _ENCODERS[path]
 
 

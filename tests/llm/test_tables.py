@@ -32,6 +32,21 @@ def test_encoder_equals_the_library(tokenizer, texts):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_as_the_library_loads_them(spark):
+    loaded = Tokenizer.from_file(token_table.vocabulary_path())
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "plain words"), (4, "a  <|endoftext|>\n\ud55c")]
+    encode = token_table.encoder(token_table.vocabulary_path())
+    want, start = [], 0
+    for doc_id, text in rows:
+        ids = loaded.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == ids
+        want.append((doc_id, start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
+        start += len(ids) + 1
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_table.read_tables(token_table.write_tables(table, token_table.vocabulary_path())).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_token_tables(odd, docs, empty, tokenizer):
     for table in (odd, docs):
         rows = [(r.doc_id, r.text or "") for r in pick(table, "doc_id", "text").collect()]
