@@ -98,21 +98,30 @@ def fit_ordinal(hits: list[list[int]], grade: np.ndarray, n_features: int, ridge
     return p[:n_features], thresholds
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features: int = 512, min_share: float = 0.005, min_tie: float = 15.0, min_purity: float = 0.5, levels: int = 2) -> OrdinalModel:
+def class_shares(clean: int, toxic: int, sample_docs: int) -> tuple[float, float]:
+    """Shares of the clean and of the toxic labels to draw: half of the bound for each class, and what one leaves goes to the other."""
+    few = min(toxic, sample_docs // 2)
+    rest = min(clean, sample_docs - few)
+    return rest / max(clean, 1) or 1.0, min(toxic, sample_docs - rest) / max(toxic, 1) or 1.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features: int = 512, min_toxic: int = 5, min_tie: float = 15.0, min_purity: float = 0.5, levels: int = 2) -> OrdinalModel:
     """Fit on labelled documents.
 
-    sample_docs bounds the labelled documents used, a fixed pseudo-random part of more; their whole texts count, equal
-    texts once. Of the words and word beginnings in min_share of the texts, and in five at least, those count that are
-    commoner in toxic texts by a log-likelihood ratio of min_tie or more, and have min_purity of their texts there, the n_features strongest. Toxic texts have
+    sample_docs bounds the labelled documents used, a fixed pseudo-random part of more, drawn per class: toxic ones are all used
+    while they are half of the bound at most; purity and thresholds are those of the labels before the draw. Whole texts count, equal
+    texts once. Of the words and word beginnings in min_toxic toxic texts or more, those count that are
+    commoner there by a log-likelihood ratio of min_tie or more, and have min_purity of their texts there, the n_features strongest. Toxic texts have
     `levels` grades, see severity_grades. Without labels, or
     with one grade only, the model finds nothing.
     """
     spark = docs.sparkSession
     small_batches(spark)
     marked = judged(labels)
-    total = marked.count()
-    if total > sample_docs:
-        marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(sample_docs / total * 1_000_000))
+    labelled = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = class_shares(labelled.get(0, 0), labelled.get(1, 0), sample_docs)
+    share = F.when(F.col("toxic") > 0, F.lit(int(shares[1] * 1_000_000))).otherwise(F.lit(int(shares[0] * 1_000_000)))
+    marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < share)
     rows = texts(docs).join(F.broadcast(marked), "doc_id").groupBy(F.md5("text").alias("key")).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = settled(rows.select("text", "toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -131,8 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([bad[w] for w in seen], pa.int64())], ["word", "n", "bad"])
 
     counted = rows.mapInArrow(count, "word binary, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    common = counted.where(F.col("n") >= max(5, min_share * n)).collect()
-    ties = {bytes(r.word): _tie(r.n, r.bad, n, toxic) for r in common if r.bad >= min_purity * r.n and r.bad * n > r.n * toxic}
+    clean_odds = shares[1] / shares[0]  # clean labels that each drawn one stands for, in units of toxic ones
+    pure = F.col("bad") >= min_purity * (F.col("bad") + (F.col("n") - F.col("bad")) * clean_odds)
+    common = counted.where((F.col("bad") >= min_toxic) & pure & (F.col("bad") * n > F.col("n") * toxic)).collect()
+    ties = {bytes(r.word): _tie(r.n, r.bad, n, toxic) for r in common}
     ranked = sorted((w for w, tie in ties.items() if tie >= min_tie), key=lambda w: (-ties[w], w))[:n_features]
     place = {w: k for k, w in enumerate(ranked)}
 
@@ -146,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features
     grade = severity_grades(np.array([r.toxic for r in table]), np.array([r.signs for r in table]), levels)
     hits = [[*r.hits, len(place)] if r.hits else [] for r in table]
     weights, thresholds = fit_ordinal(hits, grade, len(place) + 1)
-    return OrdinalModel({w: float(weights[k]) for w, k in place.items()}, float(weights[-1]), thresholds)
+    return OrdinalModel({w: float(weights[k]) for w, k in place.items()}, float(weights[-1]), thresholds + np.log(clean_odds))
 
 
 def _tie(n: int, bad: int, total: int, toxic: int) -> float:

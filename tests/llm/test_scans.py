@@ -117,6 +117,23 @@ def test_toxicity(spark, odd, empty):
     assert {(r.severity, r.toxic) for r in toxicity.grade_documents(odd, blank).collect()} == {(0.0, False)}
 
 
+def test_rare_toxic_labels_are_learned(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    bad = labels.where("toxic = 1").orderBy("doc_id")
+    rare = labels.where("toxic = 0").unionByName(bad.limit(60))
+    model = toxicity.fit(table, rare)
+    found = {r.doc_id: r.toxic for r in toxicity.grade_documents(table, model).collect()}
+    rows = [(found[r.doc_id], r.toxic) for r in labels.collect()]
+    assert np.mean([f for f, toxic in rows if toxic]) > 0.5
+    assert np.mean([f for f, toxic in rows if not toxic]) < 0.03
+
+
+def test_class_shares():
+    assert toxicity.class_shares(100, 5, 8000) == (1, 1)
+    assert toxicity.class_shares(79_900, 100, 8000) == (7900 / 79_900, 1)
+    assert toxicity.class_shares(100_000, 100_000, 8000) == (0.04, 0.04)
+
+
 def test_media_round_trip(odd, docs, empty):
     for table in (odd, docs):
         table = table.where("doc_id IS NOT NULL")
