@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.operators.ranges import fix_ranges
 from keyloom.operators.row_number import Order, ordering
 
 
@@ -13,19 +14,21 @@ def external_sort(df: DataFrame, partition_by: list[str], order_by: list[Order])
     return df.orderBy(*ordering([*partition_by, *order_by]))
 
 
-def sorted_position(df: DataFrame, by: list[Order], name: str = "position", slices: int | None = None) -> DataFrame:
+def sorted_position(df: DataFrame, by: list[str], name: str = "position", slices: int | None = None) -> DataFrame:
     """The 1-based place of each row in the global order, without moving all rows to one task.
 
-    Rows are dealt by ranges; each range's size, one row a range, gives the start of the next.
+    Bounds of ranges are fixed first, from a sample. A scan of the columns in `by` alone counts the rows of each range, which
+    gives its start; one exchange brings the rows to their ranges, each sorted alone. `df` is read three times
+    and has to be the same each time. Rows that are equal in all of `by` lie in one range, in any order.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a stated number of ranges is never coalesced, so both uses of the exchange see the same partition ids
-    cut = df.repartitionByRange(n, *ordering(by)).withColumn("kl_range", F.spark_partition_id())
+    ranges = fix_ranges(df, by, slices)
+    cut = df.withColumn("kl_range", ranges.number())
     sizes = cut.groupBy("kl_range").agg(F.count(F.lit(1)).alias("kl_n"))
     before = Window.orderBy("kl_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("kl_range", F.coalesce(F.sum("kl_n").over(before), F.lit(0)).alias("kl_start"))
     inside = F.row_number().over(Window.partitionBy("kl_range").orderBy(*ordering(by)))
-    placed = cut.withColumn("kl_row", inside).join(F.broadcast(starts), "kl_range")
+    dealt = cut.repartitionById(ranges.count, F.col("kl_range")).withColumn("kl_row", inside)
+    placed = dealt.join(F.broadcast(starts), "kl_range")  # a row for each range, MAX_RANGES at most
     return placed.withColumn(name, (F.col("kl_row") + F.col("kl_start")).cast("bigint")).drop("kl_range", "kl_row", "kl_start")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -38,3 +41,16 @@ def importable(spark: SparkSession) -> None:
     root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         environment["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a new one where that is unset."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(spark.sparkContext.applicationId):
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir isn't set; it has to name a folder that driver and executors share")
+    folder = "file://" + os.path.join(tempfile.gettempdir(), f"keyloom-{uuid.uuid4().hex}")
+    return _FOLDERS.setdefault(spark.sparkContext.applicationId, folder)
+
+
+_FOLDERS: dict[str, str] = {}
