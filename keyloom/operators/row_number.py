@@ -43,21 +43,24 @@ def number_rows(
     null_keys: str = "group",
     deterministic: bool = False,
     top: int | None = None,
+    ties: list[str] = (),
 ) -> DataFrame:
     """The input's columns and a 1-based bigint number of each row in its key, in ascending order, nulls last.
 
     One exchange on the keys, one sort, one streaming window: a key may be of any size, as sorted rows spill. null_keys: "group"
     (null is a key like others) or "error". An empty order_by numbers rows in any order. deterministic breaks ties by the
-    file and row that a row was read from. top keeps the first rows of each key only; Spark then limits each task's rows
-    before the exchange.
+    file and row that a row was read from, of a table that is read from files directly; ties names columns that break them, such as those of
+    load(origin=True), which unions and selections keep; they are left out of the result. top keeps the first rows of each key only; Spark then limits each task's rows
+    before the exchange, which pays where keys have many rows. spread.number_rows_spread deals a key over tasks.
     """
     check_query(df, partition_by, order_by, name)
     if null_keys not in ("group", "error"):
         raise ValueError("null_keys must be 'group' or 'error'")
     if null_keys == "error":
         df = without_null_keys(df, partition_by)
-    ties = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if deterministic else []
-    numbered = df.withColumn(name, F.row_number().over(_window(partition_by, order_by, ties)).cast("bigint"))
+    last = [F.col("_metadata.file_path"), F.col("_metadata.row_index")] if deterministic else []
+    window = _window(partition_by, order_by, ordering(list(ties)) + last)
+    numbered = df.withColumn(name, F.row_number().over(window).cast("bigint")).drop(*ties)
     return numbered if top is None else numbered.where(F.col(name) <= top)
 
 
