@@ -25,6 +25,11 @@ def records_per_block(stats: DataFrame) -> DataFrame:
     return stats.groupBy("block_id").agg(F.sum("count").alias("records_count"))
 
 
+def keys_per_block(stats: DataFrame) -> DataFrame:
+    """block_id, keys_count: a row of the statistics is a key of a block."""
+    return stats.groupBy("block_id").agg(F.count(F.lit(1)).alias("keys_count"))
+
+
 def total_records(stats: DataFrame) -> DataFrame:
     return stats.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_records"))
 
@@ -36,6 +41,33 @@ def node_weights(stats: DataFrame, keys: list[str]) -> DataFrame:
     return local.withColumn("weight", F.col("count") / whole)
 
 
+def heaviest_owners(stats: DataFrame, keys: list[str], slack: float = 0.1) -> DataFrame:
+    """keys, records_count, primary_node: owners by DataFrame steps alone, for more keys than a driver may hold.
+
+    A key goes to the node with the most of its rows, the smallest name among equals. Nodes that so get more than 1 + slack of
+    an even load give keys away, chosen by hash, in the share that they are over; hash also picks the taker among
+    the other nodes, in proportion to the room they have. Only the loads, a row for each node, are read by the driver.
+    """
+    local = stats.groupBy("node_id", *keys).agg(F.sum("count").alias("n"))
+    best = local.groupBy(*keys).agg(F.sum("n").alias("records_count"), F.min(F.struct((-F.col("n")).alias("n"), F.col("node_id").alias("node"))).alias("best"))
+    owned = best.select(*keys, "records_count", F.col("best.node").alias("node"))
+    loads = {r.node_id: r.n for r in stats.select("node_id").distinct().join(owned.groupBy(F.col("node").alias("node_id")).agg(F.sum("records_count").alias("n")), "node_id", "left").collect()}
+    loads = {node: n or 0 for node, n in sorted(loads.items())}
+    most = (1 + slack) * sum(loads.values()) / max(1, len(loads))
+    over = {node: (n - most) / n for node, n in loads.items() if n > most}
+    rooms = [(node, most - n) for node, n in loads.items() if n < most]
+    if not over or not rooms:
+        return owned.withColumnRenamed("node", "primary_node")
+    draw = lambda seed: F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / float(1 << 53)
+    gives = F.coalesce(*[F.when(F.col("node") == node, draw(1) < share) for node, share in over.items()], F.lit(False))
+    total, so_far, taker = sum(room for _, room in rooms), 0.0, F.lit(rooms[-1][0])
+    steps = []
+    for node, room in rooms[:-1]:
+        so_far += room / total
+        steps.append(F.when(draw(2) < so_far, F.lit(node)))
+    return owned.select(*keys, "records_count", F.when(gives, F.coalesce(*steps, taker)).otherwise(F.col("node")).alias("primary_node"))
+
+
 def block_sets(stats: DataFrame, keys: list[str]) -> DataFrame:
     """keys, block_ids (sorted), records_count: the blocks that hold each key."""
     return stats.groupBy(*keys).agg(
