@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.operators.row_number import ordering
 from keyloom.session import importable
 
-PACKED = "part int, batch_no bigint, n_rows bigint, n_keys bigint, payload binary"
+PACKED = "part int, batch_no bigint, piece int, last boolean, n_rows bigint, n_keys bigint, payload binary"
+#: Rows of a batch where no limit is given, and bytes of one payload; a larger batch has several pieces.
+DEFAULT_ROWS, PAYLOAD_BYTES = 100_000, 64 << 20
 
 
-def key_starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> list[int]:
+def key_starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     """Rows, other than the first, at which any key column differs from the row before; nulls and NaNs equal their like."""
     changed = None
     for name in keys:
@@ -29,44 +33,98 @@ def key_starts(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> list[int]:
             differs = pc.and_not(differs, both)
         differs = pc.or_(differs, pc.xor(pc.is_null(now), pc.is_null(before)))
         changed = differs if changed is None else pc.or_(changed, differs)
-    return [k + 1 for k in pc.indices_nonzero(changed).to_pylist()]
-
-
-def pack_keys(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None, batch_per_key: bool = False) -> Iterator[tuple[pa.Table, int]]:
-    """Whole keys packed greedily into tables of `limit` rows at most, with how many keys each has.
-
-    A key of more rows is a table of its own. No limit: everything is one table. Rows of a key must be neighbours; a key may
-    run over many incoming batches.
+    return pc.indices_nonzero(changed).to_numpy().astype(np.int64) + 1
+
+
+class _Held:
+    """Rows that wait to be handed out, in the batches they came in."""
+
+    def __init__(self) -> None:
+        self.batches: list[pa.RecordBatch] = []
+        self.rows = self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+        self.rows += batch.num_rows
+        self.bytes += batch.nbytes
+
+    def take(self, n: int) -> pa.Table:
+        """The first n rows, without copies; they are held no longer."""
+        out, schema = [], self.batches[0].schema
+        while n:
+            head = self.batches[0]
+            if head.num_rows > n:
+                out.append(head.slice(0, n))
+                self.batches[0] = head.slice(n)
+            else:
+                out.append(self.batches.pop(0))
+            n -= out[-1].num_rows
+        self.rows -= sum(b.num_rows for b in out)
+        self.bytes = sum(b.nbytes for b in self.batches)
+        return pa.Table.from_batches(out, schema)
+
+
+def pack_pieces(
+    batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None, batch_per_key: bool = False, max_bytes: int = PAYLOAD_BYTES
+) -> Iterator[tuple[pa.Table, int, bool]]:
+    """Whole keys packed greedily into batches of `limit` rows at most (DEFAULT_ROWS without one), a key of more rows alone.
+
+    Gives (rows, keys that end in them, whether the batch ends). A batch over max_bytes comes in several pieces, so
+    neither a payload nor what is held here grows with a key. Rows of a key must be neighbours; a key may run over many incoming batches.
+    Key ends are found by whole columns, and batches are cut by one search each.
     """
-    limit = 1 if batch_per_key else limit or None
-    ready: list[pa.RecordBatch] = []  # whole keys that wait
-    ready_rows = ready_keys = 0
-    open_key: list[pa.RecordBatch] = []  # the key that may still grow
-
-    def close_key() -> Iterator[tuple[pa.Table, int]]:
-        nonlocal ready, ready_rows, ready_keys, open_key
-        size = sum(p.num_rows for p in open_key)
-        if ready and limit is not None and ready_rows + size > limit:
-            yield pa.Table.from_batches(ready), ready_keys
-            ready, ready_rows, ready_keys = [], 0, 0
-        ready, ready_rows, ready_keys, open_key = ready + open_key, ready_rows + size, ready_keys + 1, []
+    limit = 1 if batch_per_key else limit or DEFAULT_ROWS
+    held, ends = _Held(), np.zeros(0, np.int64)  # ends of whole keys, counted from the first row held
+    before: pa.RecordBatch | None = None
+    begun = False  # pieces of the first key held are out already
+
+    def emit(n: int, n_keys: int, last: bool) -> Iterator[tuple[pa.Table, int, bool]]:
+        table = held.take(n)
+        step = max(1, table.num_rows * max_bytes // max(1, table.nbytes))
+        for at in range(0, max(1, table.num_rows), step):
+            final = at + step >= table.num_rows
+            yield table.slice(at, step), n_keys if final else 0, last and final
+
+    def cut(done: bool) -> Iterator[tuple[pa.Table, int, bool]]:
+        nonlocal ends, begun
+        at = taken = 0
+        while taken < len(ends):
+            fit = taken + 1 if begun else int(np.searchsorted(ends, at + limit, "right"))
+            if not begun and fit == len(ends) and not done and held.rows <= limit:
+                break  # the key that is still open may fit as well
+            fit = max(fit, taken + 1)
+            yield from emit(int(ends[fit - 1]) - at, fit - taken, True)
+            at, taken, begun = int(ends[fit - 1]), fit, False
+        ends = ends[taken:] - at
+        if not len(ends) and held.rows > limit and held.bytes > max_bytes:
+            begun = True  # one open key, larger than a payload
+            yield from emit(held.rows, 0, False)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        if open_key:
-            seam = pa.Table.from_batches([open_key[-1].slice(open_key[-1].num_rows - 1, 1), batch.slice(0, 1)])
-            if key_starts(seam, keys):
-                yield from close_key()
-        starts = [0, *key_starts(batch, keys), batch.num_rows]
-        for low, high in zip(starts, starts[1:], strict=False):
-            if low:
-                yield from close_key()
-            open_key.append(batch.slice(low, high - low))
-    if open_key:
-        yield from close_key()
-    if ready:
-        yield pa.Table.from_batches(ready), ready_keys
+        starts = key_starts(batch, keys)
+        if before is not None and len(key_starts(pa.Table.from_batches([before, batch.slice(0, 1)]), keys)):
+            starts = np.concatenate([[0], starts])
+        before = batch.slice(batch.num_rows - 1)
+        ends = np.concatenate([ends, held.rows + starts])
+        held.add(batch)
+        yield from cut(False)
+    if before is not None:
+        ends = np.concatenate([ends, [held.rows]])
+        if not held.batches:
+            held.add(before.slice(0, 0))
+        yield from cut(True)
+
+
+def pack_keys(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None, batch_per_key: bool = False) -> Iterator[tuple[pa.Table, int]]:
+    """The batches of pack_pieces, each as one table, with how many keys it has."""
+    held: list[pa.Table] = []
+    for table, n_keys, last in pack_pieces(batches, keys, limit, batch_per_key):
+        held.append(table)
+        if last:
+            yield pa.concat_tables(held), n_keys
+            held = []
 
 
 def ipc_bytes(table: pa.Table) -> bytes:
@@ -76,21 +134,24 @@ def ipc_bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def packed_batches(df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False) -> DataFrame:
-    """Batches as rows (part, batch_no, n_rows, n_keys, payload), payload in Arrow's stream format; to be fetched or written.
+def packed_batches(
+    df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False, max_bytes: int = PAYLOAD_BYTES
+) -> DataFrame:
+    """Batches as rows (part, batch_no, piece, last, n_rows, n_keys, payload), payload in Arrow's stream format; to be fetched or written.
 
-    Rows come sorted by key and order, the exchange and sort of a numbered input are used again.
+    A batch has one row for each piece of max_bytes about, the final one marked by `last`, which also counts the batch's keys. Rows come
+    sorted by key and order; the exchange and sort of a numbered input are used again.
     """
     importable(df.sparkSession)
     arranged = df.repartition(*keys).sortWithinPartitions(*ordering([*keys, *order_by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (table, n_keys) in enumerate(pack_keys(batches, keys, limit, batch_per_key)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([n_keys], pa.int64()), pa.array([ipc_bytes(table)], pa.binary())],
-                ["part", "batch_no", "n_rows", "n_keys", "payload"],
-            )
+        part, number, piece = TaskContext.get().partitionId(), 0, 0
+        for table, n_keys, last in pack_pieces(batches, keys, limit, batch_per_key, max_bytes):
+            row = {"part": part, "batch_no": number, "piece": piece, "last": last, "n_rows": table.num_rows, "n_keys": n_keys, "payload": ipc_bytes(table)}
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds, strict=True)], list(row))
+            number, piece = (number + 1, 0) if last else (number, piece + 1)
 
     return arranged.mapInArrow(run, PACKED)
 
@@ -99,16 +160,50 @@ def open_payload(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def _joined(rows: Iterator) -> Iterator[pd.DataFrame]:
+    held: list[pa.Table] = []
+    for row in rows:
+        held.append(open_payload(bytes(row["payload"])))
+        if row["last"]:
+            yield pa.concat_tables(held).to_pandas()
+            held = []
+
+
 def batches(df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False) -> Iterator[pd.DataFrame]:
     """pandas batches, one Spark partition after another; the next is computed while one is read, no more, so a slow reader holds Spark back."""
-    for row in packed_batches(df, keys, order_by, limit, batch_per_key).toLocalIterator(prefetchPartitions=True):
-        yield open_payload(bytes(row["payload"])).to_pandas()
+    yield from _joined(packed_batches(df, keys, order_by, limit, batch_per_key).toLocalIterator(prefetchPartitions=True))
 
 
-def deliver(df: DataFrame, keys: list[str], on_batch: Callable[[pd.DataFrame], None], order_by: list[str] = (), limit: int | None = None) -> int:
+def deliver(df: DataFrame, keys: list[str], on_batch: Callable[[pd.DataFrame], None], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False) -> int:
     """Call on_batch for each batch; returns how many rows it got."""
     received = 0
-    for batch in batches(df, keys, order_by, limit):
+    for batch in batches(df, keys, order_by, limit, batch_per_key):
         on_batch(batch)
         received += len(batch)
     return received
+
+
+class StoredBatches:
+    """Batches written to a folder, so that all rows are made before any is taken; each is handed out once, by its place or in turn."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        index = spark.read.parquet(folder).where("last").select("part", "batch_no").orderBy("part", "batch_no")
+        self.waiting = {k: (r["part"], r["batch_no"]) for k, r in enumerate(index.toLocalIterator())}
+
+    @classmethod
+    def write(cls, packed: DataFrame, folder: str) -> StoredBatches:
+        packed.write.partitionBy("part").parquet(folder)
+        return cls(packed.sparkSession, folder)
+
+    def fetch(self, place: int) -> pd.DataFrame | None:
+        """The batch at that place, from 0; None where it has been taken, or never was."""
+        if (at := self.waiting.pop(place, None)) is None:
+            return None
+        rows = self.spark.read.parquet(self.folder).where((F.col("part") == at[0]) & (F.col("batch_no") == at[1]))
+        return next(_joined(rows.orderBy("piece").toLocalIterator()))
+
+    def __iter__(self) -> Iterator[pd.DataFrame]:
+        while self.waiting:
+            if (batch := self.fetch(min(self.waiting))) is not None:
+                yield batch
