@@ -8,19 +8,25 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Reader = Callable[[SparkSession, str, dict], DataFrame]
+#: Reads a dataset's path, or a list of some of its files, with the dataset's options.
+Reader = Callable[[SparkSession, str | list[str], dict], DataFrame]
 
 
 def _read(kind: str) -> Reader:
     return lambda spark, path, options: spark.read.format(kind).options(**options).load(path)
 
 
-#: Dataset types by name; register_format adds others.
+#: Dataset types by name, and the ending of their files where it isn't the name; register_format adds others.
 FORMATS: dict[str, Reader] = {kind: _read(kind) for kind in ("parquet", "orc", "json", "csv")}
+ENDINGS: dict[str, str] = {}
+#: Columns that load(origin=True) adds: the file and row that a row was read from.
+ORIGIN = ["kl_file", "kl_row"]
 
 
-def register_format(name: str, reader: Reader) -> None:
+def register_format(name: str, reader: Reader, ending: str | None = None) -> None:
     FORMATS[name] = reader
+    if ending:
+        ENDINGS[name] = ending
 
 
 @dataclass(frozen=True)
@@ -54,29 +60,46 @@ def check_specs(specs: Iterable[DatasetSpec], nodes_required: bool = False) -> l
     return specs
 
 
+def _folder(spark: SparkSession, spec: DatasetSpec) -> tuple[object, object]:
+    """The dataset's path and its file system, by Hadoop, so any store that Spark reads will do."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spec.path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def list_files(spark: SparkSession, spec: DatasetSpec) -> list[str]:
-    """The dataset's files, sorted: a flat folder's *.parquet, or one such file.
+    """The dataset's files, sorted: those of its type in the folder and, as Spark reads them, in partition folders below; or one such file.
 
-    Listed by Hadoop's file systems, so any store that Spark reads will do. FileNotFoundError for missing paths,
-    ValueError for a single file with another ending.
+    Names that begin with a dot or an underscore are left out. FileNotFoundError for missing paths, ValueError for a
+    single file with another ending.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(spec.path)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, system = _folder(spark, spec)
     if not system.exists(path):
         raise FileNotFoundError(spec.path)
-    ending = f".{spec.dataset_type}"
+    ending = ENDINGS.get(spec.dataset_type, f".{spec.dataset_type}")
     status = system.getFileStatus(path)
     if status.isFile():
         if not path.getName().endswith(ending):
             raise ValueError(f"{spec.path} doesn't end in {ending}")
         return [str(status.getPath())]
-    found = [f for f in system.listStatus(path) if f.isFile() and f.getPath().getName().endswith(ending)]
-    return sorted(str(f.getPath()) for f in found)
+    found, files = [], system.listFiles(path, True)
+    top = len(str(status.getPath())) + 1
+    while files.hasNext():
+        name = str(files.next().getPath())
+        inside = name[top:].split("/")
+        if name.endswith(ending) and not any(part[0] in "._" for part in inside) and all("=" in part for part in inside[:-1]):
+            found.append(name)
+    return sorted(found)
 
 
 def with_block(df: DataFrame, spec: DatasetSpec, block: Column | None = None) -> DataFrame:
-    """Add dataset_id, node_id, block_id. A block is a file, or what the expression says (a virtual block)."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1) if block is None else block.cast("string")
+    """Add dataset_id, node_id, block_id. A block is a file, named by its path inside the dataset, or what the expression says (a virtual block)."""
+    if block is None:
+        file = F.col("_metadata.file_path")
+        root = df.sparkSession._jvm.org.apache.hadoop.fs.Path(spec.path).toUri().getRawPath().rstrip("/") + "/"
+        at = F.locate(root, file)
+        name = F.when(at > 0, F.substr(file, at + len(root))).otherwise(F.element_at(F.split(file, "/"), -1))
+    else:
+        name = block.cast("string")
     return df.select(
         "*",
         F.lit(spec.id).alias("dataset_id"),
@@ -92,11 +115,12 @@ def load(
     merge_schema: bool = False,
     blocks: bool = False,
     block: Column | None = None,
+    origin: bool = False,
 ) -> DataFrame:
     """All datasets as one table.
 
     columns prunes the scan. merge_schema allows datasets, and files inside one, with different columns; what is
-    missing is null. blocks adds dataset_id, node_id and block_id. Files inside a dataset are read by Spark's own listing, never in a
+    missing is null. blocks adds dataset_id, node_id and block_id; origin adds ORIGIN, which orders rows that are equal otherwise. Files inside a dataset are read by Spark's own listing, never in a
     loop.
     """
     parts = []
@@ -105,11 +129,15 @@ def load(
         if spec.dataset_type in ("parquet", "orc") and merge_schema:
             options["mergeSchema"] = "true"
         df = FORMATS[spec.dataset_type](spark, spec.path, options)
+        kept = list(df.columns if columns is None else columns)
+        if origin:
+            df = df.select("*", "_metadata", F.col("_metadata.file_path").alias(ORIGIN[0]), F.col("_metadata.row_index").alias(ORIGIN[1]))
+            kept += ORIGIN
         if blocks:
-            kept = df.columns if columns is None else columns
-            df = with_block(df, spec, block).select(*kept, "dataset_id", "node_id", "block_id")
-        elif columns is not None:
-            df = df.select(*columns)
+            df = with_block(df, spec, block)
+            kept += ["dataset_id", "node_id", "block_id"]
+        if columns is not None or blocks or origin:
+            df = df.select(*kept)
         parts.append(df)
     out = parts[0]
     for part in parts[1:]:
@@ -117,13 +145,21 @@ def load(
     return out
 
 
+def _some(spark: SparkSession, spec: DatasetSpec, files: list[str]) -> DataFrame:
+    """Some files of the dataset by its own reader, with the columns of their partition folders."""
+    read = FORMATS[spec.dataset_type]
+    if not files:
+        return read(spark, spec.path, dict(spec.options)).limit(0)
+    path, system = _folder(spark, spec)
+    inside = {} if system.getFileStatus(path).isFile() else {"basePath": spec.path}
+    return read(spark, files, {**inside, **spec.options})
+
+
 def shard_files(spark: SparkSession, spec: DatasetSpec, shard: int, shards: int) -> DataFrame:
     """The files whose place in the sorted listing is `shard` modulo `shards`; other files aren't opened."""
     if not 0 <= shard < shards:
         raise ValueError("shard must be from 0 to shards - 1")
-    chosen = list_files(spark, spec)[shard::shards]
-    whole = FORMATS[spec.dataset_type](spark, spec.path, spec.options)
-    return spark.read.schema(whole.schema).format(spec.dataset_type).load(chosen) if chosen else whole.limit(0)
+    return _some(spark, spec, list_files(spark, spec)[shard::shards])
 
 
 def block_files(df: DataFrame) -> DataFrame:
@@ -133,7 +169,7 @@ def block_files(df: DataFrame) -> DataFrame:
 
 def read_blocks(spark: SparkSession, spec: DatasetSpec, files: list[str], columns: list[str] | None = None) -> DataFrame:
     """Some files of the dataset, the given columns only."""
-    out = FORMATS[spec.dataset_type](spark, spec.path, spec.options).limit(0) if not files else spark.read.format(spec.dataset_type).options(**spec.options).load(files)
+    out = _some(spark, spec, files)
     return out if columns is None else out.select(*columns)
 
 
