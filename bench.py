@@ -28,6 +28,10 @@ HEADLINES = [
     "external_sort_position",
     "hash_bucket_keys",
     "split_files",
+    "sorted_position_payload",
+    "rn_skewed_key",
+    "batch_near_unique",
+    "split_file_sizes",
 ]
 
 

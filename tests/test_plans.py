@@ -54,6 +54,37 @@ def test_merge_reload_hands_out_keys_when_room_runs_short():
     assert rounds[2].merge_emits and rounds[2].peak <= 24
 
 
+def held(limit, spread, blocks, **options):
+    owners = dict.fromkeys({k for b in blocks for k in b.counts}, spread)
+    return simulate(blocks, list(order_blocks(blocks, "sequential")), owners, limit, **options)
+
+
+def test_keys_complete_now_spill_last_key_first():
+    # all that is buffered completes in the second round; the smaller key goes although the other is larger
+    blocks = [Block("b0", "n", {(1,): 5, (2,): 3}), Block("b1", "n", {(1,): 1, (2,): 1})]
+    rounds, spills = held(9, "n", blocks)
+    assert rounds[1].write_dump == rounds[1].read_dump == 3 and spills == {(2,): {1: 3}}
+
+
+def test_direct_return_needs_something_to_return():
+    # the only key due has rows on disk, so nothing leaves straight from memory
+    blocks = [Block("b0", "n", {(1,): 6}), Block("b1", "n", {(2,): 6}), Block("b2", "n", {(1,): 5}), Block("b3", "n", {(2,): 1})]
+    rounds, _ = held(8, "n", blocks)
+    assert rounds[2].read_dump and not rounds[2].direct_return
+    # here key 3 is due as well, and whole
+    blocks[2] = Block("b2", "n", {(1,): 4, (3,): 2})
+    rounds, _ = held(8, "n", blocks)
+    assert rounds[2].direct_return and sum(r.returned for r in rounds) == sum(b.records for b in blocks)
+
+
+def test_rows_that_arrive_now_never_spill():
+    blocks = [Block("b0", "n", {(1,): 2}), Block("b1", "n", {(2,): 50, (1,): 1}), Block("b2", "n", {(2,): 1})]
+    rounds, spills = held(10, "n", blocks)
+    # the peak stays above the limit, since only the two rows of the first round could go
+    assert rounds[1].write_dump == 2 and rounds[1].peak > 10 and spills[(1,)] == {1: 2}
+    assert (2,) not in spills or 1 not in spills[(2,)]
+
+
 @pytest.mark.parametrize("heuristic", ["sequential", "random", "subsets"])
 @pytest.mark.parametrize("seed", range(6))
 def test_invariants(heuristic, seed):
