@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyloom.session import importable
+from keyloom.session import importable, shared_folder
 
 #: Fixed value: the ASCII white space that the contracts name, `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
 #: The two ASCII alphabets for lower-casing A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Documents that one Arrow batch may hold on its way to Python.
-BATCH_ROWS = 512
+#: Bytes that one Arrow batch of texts may have on its way to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -48,15 +45,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    folder = "file://" + os.path.join(tempfile.gettempdir(), f"keyloom-{uuid.uuid4().hex}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def settled(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` cut from its lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -66,9 +54,41 @@ def settled(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a Python worker's memory stays bounded.
+
+    Spark reads the setting when a lazy table runs at last, so all operators set the one same value, and no call changes what another has
+    set up. A smaller value of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def one_row_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose (doc_id, text_md5) isn't in `gone`, one of each such pair, with all their columns as they were.
+
+    Rows that repeat both are told apart by a hash of their other columns; the smallest stays. Only where
+    there are any, they are joined and combined, partly before the shuffle, so a row may be repeated without bound.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
+    rest = [c for c, name in zip(plain.columns, names, strict=True) if name not in (id_col, text_col)]
+    marked = plain.withColumn("kl_md5", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    same = doc_id.eqNullSafe(F.col("doc_id")) & (F.col("kl_md5") == F.col("text_md5"))
+    left = marked.join(gone.select("doc_id", "text_md5"), same, "left_anti")
+    pairs = marked.select(doc_id.alias("doc_id"), F.col("kl_md5").alias("text_md5")).groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n"))
+    again = settled(pairs.where("n > 1").select("doc_id", "text_md5"))
+    if not again.isEmpty():
+        printed = left.withColumn("kl_print", F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit(0)))
+        repeated = printed.join(again, same, "left_semi")
+        first = repeated.groupBy(doc_id.alias("doc_id"), F.col("kl_md5").alias("text_md5")).agg(F.min("kl_print").alias("first_print"))
+        chosen = repeated.join(first, same & (F.col("kl_print") == F.col("first_print")), "left_semi").drop("kl_print")
+        once = chosen.groupBy(doc_id.alias("kl_id"), F.col("kl_md5").alias("kl_same")).agg(*[F.first(c).alias(c) for c in plain.columns])
+        left = left.join(again, same, "left_anti").select(*plain.columns).unionByName(once.select(*plain.columns))
+    return left.select(*plain.columns).toDF(*names)
 
 
 def rejoin(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

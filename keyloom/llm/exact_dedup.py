@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import rejoin, texts
+from keyloom.llm.common import one_row_each, rejoin, texts
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,7 +18,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
 
     keep: "min" or "max", the id of a group that stays. A null text counts as empty. Null ids lose
     against any other; a group of null ids only keeps them. Rows that repeat both id and text are
-    one document written twice: they share its fate. No rows give no rows.
+    one document written twice: they share its fate here, and drop_copies leaves one of them. No rows give no rows.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep must be 'min' or 'max'")
@@ -48,11 +48,6 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
 
 
 def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns as they were; see exact_groups."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    key, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
-    marked = plain.withColumn("kl_md5", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    """One row of each group of equal texts, with all its columns as they were; see exact_groups and one_row_each."""
     gone = exact_groups(docs, keep, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_md5").distinct()
-    left = marked.join(gone, key.eqNullSafe(F.col("doc_id")) & (F.col("kl_md5") == F.col("text_md5")), "left_anti")
-    return left.drop("kl_md5").toDF(*names)
+    return one_row_each(docs, gone, id_col, text_col)

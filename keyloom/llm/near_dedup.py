@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import map_columns, rejoin, settled, small_batches, texts
+from keyloom.llm.common import bounded_batches, map_columns, one_row_each, rejoin, settled, texts
 
 #: Signature slots, and the bands that they are cut into.
 SLOTS, BANDS = 192, 32
 WORDS = 5
 #: Bytes of text that one numpy pass may hold, over several documents or one long one.
 PASS_BYTES = 1 << 19
+#: Texts whose signatures a task keeps for their copies.
+KNOWN = 20_000
 #: Members and shingles of a band that one block may hold about, and shingles in one product of matrices.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1_000_000, 2048
 #: Room for rounding in float32 sums; exact verification follows.
@@ -150,32 +152,64 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (ahead / x + behind / y)).sum()))
 
 
+def all_bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Band hashes of weighted shingle sets, and for those with repeated shingles the bands of their plain sets as well.
+
+    Where nothing repeats both are the same. So two texts share bands by their probability Jaccard similarity, and by
+    their plain Jaccard similarity just as well; a link needs either.
+    """
+    plain = [(k, (h, np.ones(len(h), np.int64))) for k, (h, c) in enumerate(sets) if c.max() > 1]
+    hashes = band_hashes(signatures([*sets, *[s for _, s in plain]]))
+    out = list(hashes[: len(sets)])
+    for (k, _), more in zip(plain, hashes[len(sets) :], strict=True):
+        out[k] = np.union1d(out[k], more)
+    return out
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_md5, bands, size (number of shingles) of every document; no bands where a text has no word."""
-
-    def run(batch: dict[str, list]) -> Iterator[dict[str, object]]:
-        n = len(batch["text"])
-        bands: list[object] = [[] for _ in range(n)]
-        sizes = [0] * n
-        todo: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
-        held = 0
-        for k, text in enumerate(batch["text"]):
-            found = shingles(text)
-            if len(found[0]):
-                todo.append((k, found))
-                sizes[k] = len(found[0])
-                held += len(found[0]) + 6 * SLOTS
-            if todo and (held > 200_000 or k == n - 1):
-                for (row, _), hashes in zip(todo, band_hashes(signatures([s for _, s in todo])), strict=True):
-                    bands[row] = hashes
-                todo, held = [], 0
-        if todo:
-            for (row, _), hashes in zip(todo, band_hashes(signatures([s for _, s in todo])), strict=True):
-                bands[row] = hashes
-        yield {"doc_id": batch["doc_id"], "text_md5": batch["text_md5"], "bands": bands, "size": sizes}
-
-    rows = texts(docs).select("doc_id", F.unhex(F.md5("text")).alias("text_md5"), "text")
-    return map_columns(rows, "doc_id long, text_md5 binary, bands array<long>, size long", run)
+    """doc_id, text_md5, bands, size (number of shingles) of every document; no bands where a text has no word.
+
+    A task signs a text once and keeps the result for its copies, of KNOWN texts at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            ids, keys, column = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            found: dict[bytes, tuple[np.ndarray, int]] = {}
+            todo: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            held = 0
+
+            def sign(todo=todo, found=found) -> None:
+                for (key, made), hashes in zip(todo.items(), all_bands(list(todo.values())), strict=True):
+                    found[key] = hashes, len(made[0])
+                todo.clear()
+
+            for k, key in enumerate(keys):
+                if key in known:
+                    found[key] = known[key]
+                elif key not in found and key not in todo:
+                    made = shingles(column[k].as_py())
+                    if len(made[0]):
+                        todo[key] = made
+                        held += len(made[0]) + 6 * SLOTS
+                    else:
+                        found[key] = np.zeros(0, np.int64), 0
+                if held > 200_000:
+                    sign()
+                    held = 0
+            if todo:
+                sign()
+            if len(known) < KNOWN:
+                known.update(found)
+            rows = [found[key] for key in keys]
+            yield pa.RecordBatch.from_arrays(
+                [ids, batch.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.int64())],
+                ["doc_id", "text_md5", "bands", "size"],
+            )
+
+    rows = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("text_md5"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_md5 binary, bands array<long>, size long")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -199,10 +233,10 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, hashes, counts: the shingles of the representatives in wanted (id)."""
+    """id, hashes, counts: the shingles of the nodes in wanted (id); each node's text is read from a row with its smallest doc_id."""
     rows = texts(docs).withColumn("text_md5", F.unhex(F.md5("text")))
-    named = reps.join(wanted, F.col("rep") == F.col("id")).select("id", F.col("text_md5").alias("id_md5"))
-    held = rows.join(named, (F.col("doc_id") == F.col("id")) & (F.col("text_md5") == F.col("id_md5")))
+    named = reps.join(wanted, F.col("rep") == F.col("id")).select("id", "low_id", F.col("text_md5").alias("id_md5"))
+    held = rows.join(named, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("text_md5") == F.col("id_md5")))
     held = held.select("id", "text")
 
     def pack(batch: dict[str, list]) -> Iterator[dict[str, object]]:
@@ -389,16 +423,20 @@ def _rest(packed: DataFrame, reps: DataFrame, parts: DataFrame, threshold: float
 def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept, text_md5.
 
-    Texts with equal bytes are one node, named by their smallest doc_id. Nodes whose word 5-shingles are similar by
-    `threshold` or more (see similarity) are linked, and linked nodes are a class, named by its smallest id, which
-    stays. ProbMinHash with 192 slots in 32 bands misses a pair of similarity 0.8 with probability 6e-5. Texts
-    without a word have no shingles; only equal ones share a class. Null texts are empty. Texts that only have null
-    ids are nodes of their own with a null class_id. Repeated rows stay together. No rows give no rows.
+    Texts with equal bytes, by their 128-bit MD5, are one node; nodes are told apart by text, so documents that share an id don't
+    share a class by that. Nodes whose word 5-shingles are similar by
+    `threshold` or more (see similarity) are linked, and linked nodes are a class, named by its smallest doc_id, whose document
+    stays (of several texts with that id, the smallest MD5). ProbMinHash with 192 slots in 32 bands misses a pair of either similarity 0.8 with probability 6e-5. Texts
+    without a word have no shingles; only equal ones share a class. Null texts are empty. Null ids lose against any other; a class
+    of null ids only has a null class_id and keeps a row all the same. Rows that repeat id and text share their fate here; drop_near_copies leaves one
+    of them. No rows give no rows.
     """
-    small_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
     signed = settled(_signed(docs))
-    node = signed.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"))
-    reps = settled(node.where("rep IS NOT NULL"))
+    node = signed.groupBy("text_md5").agg(
+        F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size")
+    )
+    reps = settled(node.withColumn("rep", F.monotonically_increasing_id()))  # numbers that the checkpoint makes final
     pairs = settled(_candidates(reps))
     packed = _packed(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = _verified(packed, pairs, threshold)
@@ -406,26 +444,18 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more = settled(_rest(packed, reps, parts, threshold))
     if not more.isEmpty():
         parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    classes = reps.select("rep", "text_md5").join(parts, F.col("rep") == F.col("id"), "left")
-    classes = classes.select("text_md5", F.coalesce("component", "rep").alias("class_id"))
-    rows = settled(rejoin(signed.select("doc_id", "text_md5"), classes, ["text_md5"], "left"))
-    sizes = rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    sized = rejoin(rows, sizes, ["class_id"], "left")
-    return sized.select(
-        "doc_id",
-        "class_id",
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
-        "text_md5",
-    )
+    classes = reps.select("rep", "low_id", "copies", "text_md5").join(parts, F.col("rep") == F.col("id"), "left")
+    classes = settled(classes.select("text_md5", "low_id", "copies", F.coalesce("component", "rep").alias("component")))
+    first = F.min(F.struct(F.col("low_id").isNull().alias("none"), "low_id", "text_md5")).alias("first")
+    named = classes.groupBy("component").agg(first, F.sum("copies").alias("class_size"))
+    named = named.select("component", F.col("first.low_id").alias("class_id"), F.col("first.text_md5").alias("keep_md5"), "class_size")
+    nodes = rejoin(classes, named, ["component"]).select("text_md5", "class_id", "keep_md5", "class_size")
+    rows = rejoin(signed.select("doc_id", "text_md5"), nodes, ["text_md5"])
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("keep_md5"))
+    return rows.select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_md5")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns as they were; see near_classes."""
-    names = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    marked = plain.withColumn("kl_md5", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    """One document of each class, with all its columns as they were; see near_classes and one_row_each."""
     gone = near_classes(docs, threshold).where(~F.col("kept")).select("doc_id", "text_md5").distinct()
-    left = marked.join(gone, doc_id.eqNullSafe(F.col("doc_id")) & (F.col("kl_md5") == F.col("text_md5")), "left_anti")
-    return left.drop("kl_md5").toDF(*names)
+    return one_row_each(docs, gone)

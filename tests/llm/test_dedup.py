@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import exact_dedup, line_dedup, near_dedup
 from tests.llm.conftest import ODD
@@ -32,12 +33,22 @@ def test_exact_groups(odd, keep):
 def test_drop_copies(odd, empty):
     left = exact_dedup.drop_copies(odd, "max")
     assert left.columns == odd.columns
-    assert sorted(str(r[0]) for r in left.collect()) == sorted(map(str, [2, 3, 5, 6, 7, 8, 8, 9, None, 2**62 + 1]))
+    assert sorted(str(r[0]) for r in left.collect()) == sorted(map(str, [2, 3, 5, 6, 7, 8, 9, None, 2**62 + 1]))
     assert exact_dedup.drop_copies(empty).count() == exact_dedup.exact_groups(empty).count() == 0
     with pytest.raises(ValueError, match="missing"):
         exact_dedup.exact_groups(odd.select("doc_id"))
 
 
+def test_one_row_of_repeated_ones_stays(spark):
+    rows = [(1, "same", "b"), (1, "same", "a"), (1, "same", "a"), (2, "other", "x"), (2, "other", "x"), (1, "third", "c"), (None, "lost", "q"), (None, "lost", "p"), (3, "same", "z"), (None, None, None), (None, "", "e")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, m string").withColumn("more", F.create_map(F.lit("k"), F.col("m")))
+    for drop in (exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        one, two = (sorted((str(r.doc_id), r.text or "", r.m or "") for r in drop(t).collect()) for t in (table, table.repartition(5)))
+        assert one == two and [r[:2] for r in one] == [("1", "same"), ("1", "third"), ("2", "other"), ("None", ""), ("None", "lost")]
+    only = spark.createDataFrame([(4, "x y")] * 50, "doc_id long, text string")
+    assert exact_dedup.drop_copies(only).collect() == near_dedup.drop_near_copies(only).collect() == [(4, "x y")]
+
+
 def brute_lines(rows):
     strip = " \t\n\x0b\x0c\r"
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,7 +63,7 @@ def brute_lines(rows):
         keep = []
         for line in lines:
             k = key(line)
-            ids = [rows[p][0] for p in held[k]]
+            ids = {rows[p][0] for p in held[k]}
             top = max((i for i in ids if i is not None), default=None)
             if len(k) < 20 or len(ids) < 3 or doc_id == top:
                 keep.append(line)
@@ -65,10 +76,31 @@ def test_lines(odd, docs, empty):
         got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(table).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, brute_lines(rows)))
     assert line_dedup.dedup_lines(empty).count() == 0
+    few = sorted(map(repr, line_dedup.dedup_lines(docs, salts=1).collect()))
+    assert few == sorted(map(repr, line_dedup.dedup_lines(docs, salts=50).collect()))
     got = {r.doc_id: r.keep_bitmap for r in line_dedup.dedup_lines(odd).collect()}
     assert got[3] == got[1] == [] and [tuple(x) for x in got[9]] == [(0, 2)]
 
 
+def test_a_line_of_all_documents(spark):
+    rows = [(k * 7919 % 10_007, f"one line that every document has\nown line number {k} of this document\none line that EVERY document has ") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = line_dedup.dropped_lines(table, salts=16)
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(table).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_lines(rows))) and dropped.count() == 599
+    # the lines move once: the second use of the dealt lines reads the same exchange
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    dropped = line_dedup.dropped_lines(table)
+    dropped.collect()
+    text = dropped._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in text
+    # one id on several rows is one document; two documents don't make a line common
+    rows = [(1, "a line of two documents only"), (1, "a line of two documents only\nx"), (2, "a line of two documents only"), (None, "a line of no id, thrice over"), (None, "a line of no id, thrice over\ny"), (None, "a line of no id, thrice over\nz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.dedup_lines(table).collect()} == {0}
+
+
 def brute_classes(rows, threshold=0.8):
     sets = [near_dedup.shingles(t or "") for _, t in rows]
     parent = list(range(len(rows)))
@@ -211,3 +243,56 @@ def test_shingles():
     long = "lorem ipsum dolor sit amet " * 40_000
     hashes, counts = near_dedup.shingles(long)
     assert len(hashes) == 5 and counts.sum() == 200_000 - 4
+
+
+def test_links_by_plain_similarity_of_texts_that_repeat_themselves(spark):
+    """Shared passages that one text repeats lower the probability Jaccard, not the plain one, which makes the link."""
+    rows = []
+    for k in range(40):
+        shared = [f"s{k}x{j}" for j in range(204)]
+        own = [f"a{k}x{j}" for j in range(16)]
+        other = [f"b{k}x{j}" for j in range(16)]
+        rows.append((2 * k, " ".join(shared + own)))
+        rows.append((2 * k + 1, " ".join(shared + other + shared[:64] * 50)))
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    plain = [len(np.intersect1d(a[0], b[0])) / len(np.union1d(a[0], b[0])) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert min(plain) >= 0.8
+    weighted = near_dedup.band_hashes(near_dedup.signatures(sets))
+    missed = sum(not (a == b).any() for a, b in zip(weighted[::2], weighted[1::2], strict=True))
+    bands = near_dedup.all_bands(sets)
+    assert missed > 0 and all(len(np.intersect1d(a, b)) for a, b in zip(bands[::2], bands[1::2], strict=True))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(80)}
+
+
+def test_texts_of_one_id_and_of_no_id_are_nodes_of_their_own(spark):
+    base = [f"w{k}" for k in range(120)]
+    near = [*base[:-1], "end"]
+    other = [f"o{k}" for k in range(120)]
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, " ".join(near)), (None, " ".join(other[:-1])), (None, "alone here with no id at all"), (None, "alone here with no id at all")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in near_dedup.near_classes(table).collect())
+    assert got == [("1", "1", 2, True), ("1", "1", 2, True), ("2", "1", 2, False), ("None", "1", 2, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+    left = sorted((str(r.doc_id), r.text[:5]) for r in near_dedup.drop_near_copies(table).collect())
+    assert left == [("1", "o0 o1"), ("1", "w0 w1"), ("None", "alone")]
+
+
+def test_recall_by_similarity(spark):
+    """Copies with random edits of words, by the plain similarity of word 5-shingles, held against all that is 0.8 or more."""
+    draw, rows, pairs = random.Random(12), [], []
+    for k in range(400):
+        base = [f"v{draw.randrange(4000)}" for _ in range(draw.randint(60, 400))]
+        copy = list(base)
+        for _ in range(draw.randint(1, max(1, len(base) // 40))):
+            at = draw.randrange(len(copy))
+            if draw.random() < 0.5:
+                copy[at] = f"e{draw.randrange(10**9)}"
+            else:
+                del copy[at]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = (near_dedup.shingles(t)[0] for _, t in rows[-2:])
+        pairs.append(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = np.array([got[2 * k + 1] == 2 * k for k in range(400)])
+    pairs = np.array(pairs)
+    assert (pairs >= 0.8).sum() > 100 and found[pairs >= 0.8].all() and not found[pairs < 0.75].any()
