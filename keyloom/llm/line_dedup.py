@@ -20,57 +20,60 @@ def _hash(line: Column, min_length: int) -> Column:
     return F.when(F.char_length(key) >= min_length, F.md5(key))
 
 
-def dropped_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, salts: int = 16) -> DataFrame:
-    """doc_id, text_hash, gone: the sorted positions of the lines that a document loses, where it loses any.
-
-    First the documents and the largest id of each line hash are counted, partly before the shuffle,
-    from one row for each line and document. The hashes that are common enough then go as headers into
-    the stream of all occurrences. Both are dealt by ranges of the hash ring and sorted by hash and,
-    inside a hash, header first, then by descending document and ascending position, so one pass
-    with constant state tells first occurrences from later ones. A salt from the document turns the ring by a
-    part of it, so the occurrences of a hot line lie in `salts` ranges, each with its own header.
-    """
+def dealt_lines(docs: DataFrame, min_length: int, salts: int, width: int) -> DataFrame:
+    """hash, salt, nid, text_hash, pos and range of every line that counts, dealt by ranges of the hash ring and sorted in them by hash, salt,
+    descending document (nid is its id inverted, null last) and ascending position."""
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     hashes = F.transform(F.split("text", "\n", -1), lambda line: _hash(line, min_length))
-    once = rows.select("doc_id", F.explode(F.array_distinct(hashes)).alias("hash")).where("hash IS NOT NULL")
-    common = (
-        once.groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-        .where(F.col("n") >= min_docs)
-    )
-    header = common.select(
-        "hash",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"),
-        F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("doc_id"),
-        F.lit(None).cast("long").alias("text_hash"),
-        F.lit(None).cast("int").alias("pos"),
-        F.lit(True).alias("common"),
-        "keep_id",
-    )
     lines = rows.select("doc_id", "text_hash", F.posexplode(hashes).alias("pos", "hash")).where("hash IS NOT NULL")
-    held = lines.select(
-        "hash",
-        F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).alias("salt"),
-        F.lit(1).alias("kind"),
-        "doc_id",
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts))
+    start = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
+    place = F.pmod(start + salt * (RING // salts), F.lit(RING))
+    # None of these is ever null; said so, they keep Spark from adding filters to one use of the dealt lines and dealing them twice.
+    keyed = lines.select(
+        F.coalesce(F.unhex("hash"), F.lit(b"")).alias("hash"),
+        F.coalesce(salt.cast("int"), F.lit(0)).alias("salt"),
+        F.bitwise_not("doc_id").alias("nid"),
         "text_hash",
         "pos",
-        F.lit(None).cast("boolean").alias("common"),
-        F.lit(None).cast("long").alias("keep_id"),
+        F.coalesce(F.floor(place * width / RING).cast("int"), F.lit(0)).alias("range"),
     )
-    n = shuffle_width(docs.sparkSession)
-    start = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
-    place = F.pmod(start + F.col("salt") * (RING // salts), F.lit(RING))
-    stream = header.unionByName(held).withColumn("range", F.floor(place * n / RING).cast("int"))
-    run = Window.partitionBy("range", "hash", "salt").orderBy("kind", F.desc("doc_id"), "pos")
-    seen = (
-        stream.repartitionById(n, F.col("range"))
-        .withColumn("common", F.first("common").over(run))
-        .withColumn("keep_id", F.first("keep_id").over(run))
-    )
-    gone = seen.where("kind = 1 AND common AND NOT (doc_id <=> keep_id)")
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return keyed.repartitionById(width, F.col("range"))
+
+
+def dropped_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, salts: int | None = None) -> DataFrame:
+    """doc_id, text_hash, gone: the sorted positions of the lines that a document loses, where it loses any.
+
+    Lines move once, to ranges of the hash ring, and are sorted by hash, descending document and position. In that order the first
+    document of a hash is the one that keeps it, and the document at place min_docs shows that it is common; one pass with constant
+    state finds both. A salt from the document turns the ring by a part of it, so the lines of a hot hash lie in `salts` ranges (by default an eighth of
+    all ranges, 16 at least). So each range gives the first min_docs documents of its part of a hash, and the same ordered pass over these few
+    gives the keeper and the verdict, which go back to the ranges that asked.
+    """
+    width = shuffle_width(docs.sparkSession)
+    salts = salts or max(16, width // 8)
+    stream = dealt_lines(docs, min_length, salts, width)
+    first_line = Window.partitionBy("range", "hash", "salt").orderBy(F.asc_nulls_last("nid"), "text_hash", "pos")
+    place = F.dense_rank().over(Window.partitionBy("range", "hash", "salt").orderBy(F.asc_nulls_last("nid")))
+    new = F.row_number().over(first_line).alias("row")
+    ranked = stream.select("range", "hash", "salt", "nid", new, place.alias("place"), F.lag("nid").over(first_line).alias("before"))
+    heads = ranked.where((F.col("place") <= min_docs) & ((F.col("row") == 1) | ~F.col("nid").eqNullSafe(F.col("before"))))
+    over_hash = Window.partitionBy("hash").orderBy(F.asc_nulls_last("nid"))
+    both = over_hash.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # min_docs documents of each salt at most; texts of one id may lie in several
+    first_of_id = (F.row_number().over(over_hash) == 1) | ~F.col("nid").eqNullSafe(F.lag("nid").over(over_hash))
+    heads = heads.withColumn("counts", first_of_id.cast("int"))
+    judged = heads.select("range", "hash", "salt", "row", F.first("nid").over(over_hash).alias("keeper"), F.sum("counts").over(both).alias("n"))
+    verdicts = judged.where((F.col("n") >= min_docs) & (F.col("row") == 1)).select("range", "hash", "salt", "keeper")
+    told = stream.join(verdicts.repartitionById(width, F.col("range")), ["range", "hash", "salt"])
+    gone = told.where(~F.col("nid").eqNullSafe(F.col("keeper")))
+    gone = gone.groupBy("nid", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return gone.select(F.bitwise_not("nid").alias("doc_id"), "text_hash", "gone")
+
+
+def runs_text(bitmap: Column) -> Column:
+    """A keep bitmap as text: start+length of each run, joined by commas."""
+    return F.array_join(F.transform(bitmap, lambda run: F.concat(run["start"].cast("string"), F.lit("+"), run["length"].cast("string"))), ",")
 
 
 def keep_runs(gone: Column, n_lines: Column) -> Column:
@@ -81,7 +84,7 @@ def keep_runs(gone: Column, n_lines: Column) -> Column:
     return F.filter(runs, lambda run: run["length"] > 0)
 
 
-def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, salts: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, keep_bitmap, kept_text.
 
     A line's key is the line stripped of ASCII white space and lower-cased in A-Z. Keys of
@@ -89,9 +92,9 @@ def dedup_lines(docs: DataFrame, min_length: int = 20, min_docs: int = 3, salts:
     the document of the largest id, which keeps all of its own. keep_bitmap has a document's kept lines as
     run-length pairs (start, length).
 
-    A null or empty text is one empty line. Each input row is a document, also where ids repeat; all rows of
-    the largest id keep the line. Null ids are smaller than any other; where only they hold a key, all keep it. No
-    rows give no rows.
+    A null or empty text is one empty line. Rows that share an id are one document when documents are counted, and all of
+    them keep the lines that it keeps. Null ids are one document, smaller than any other; where only they hold a key, all keep it. Lines are
+    told apart by the 128-bit MD5 of their keys. No rows give no rows.
     """
     gone = dropped_lines(docs, min_length, min_docs, salts).toDF("gone_id", "gone_hash", "gone")
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))

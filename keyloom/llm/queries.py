@@ -27,7 +27,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    digest = F.sha2("kept_text", 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_lines", "n_dropped", digest, line_dedup.runs_text(F.col("keep_bitmap")).alias("keep_runs"))
 
 
 OP4_SQL = """
@@ -44,12 +45,21 @@ common AS (
   GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 marked AS (
   SELECT k.doc_id, k.line, k.pos, (c.key IS NOT NULL AND k.doc_id <> c.keep_id) AS gone
-  FROM keyed k LEFT JOIN common c ON k.key = c.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+  FROM keyed k LEFT JOIN common c ON k.key = c.key),
+whole AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id),
+islands AS (
+  SELECT doc_id, min(pos) - 1 AS start, count(*) AS length
+  FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marked WHERE NOT gone)
+  GROUP BY doc_id, island),
+runs AS (
+  SELECT doc_id, string_agg(start || '+' || length, ',' ORDER BY start) AS keep_runs FROM islands GROUP BY doc_id)
+SELECT whole.*, coalesce(keep_runs, '') AS keep_runs FROM whole LEFT JOIN runs USING (doc_id)
 """
 
+
 def op3_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_table.write_tables(documents(spark, sf_dir), token_table.vocabulary_path())
     return token_table.read_tables(manifest)
@@ -82,7 +92,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.col("shards").cast("array<string>"), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 QUERIES = {
