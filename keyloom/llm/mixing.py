@@ -84,14 +84,14 @@ def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
 def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, n_shards: int = 64, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The plan by source and the narrow table (doc_id, source, size, seat) that it was made from, both checkpointed.
 
-    Plan: source, source_size, target, n_blocks, factor and offset (the permutation of blocks), epochs (how
-    often all blocks are taken), full (how many permuted blocks more), cut (the last seat taken of the block
-    after those, null for none), ends (running block quotas of the shards).
+    Plan: source, source_size, target, n_blocks, factor and offset (the permutation of blocks), cut (the last seat taken of the
+    last block drawn, null for the whole block), ends (running block quotas of the shards, which are all that says what is drawn).
 
     A source's documents are dealt to blocks by hash, and each block's words are counted before any is drawn. The
     target fixes the block quota: whole passes over all blocks, then permuted blocks up to the one
-    that the target ends in, of which documents are taken by seat to the nearest one. The tree is drawn in
-    one task, over blocks' numbers alone.
+    that the target ends in, of which documents are taken by seat to the nearest one. The tree deals these quotas
+    to the shards; it is drawn in one task, over blocks' numbers alone. The passes over the permuted blocks, one after another, are the order in which
+    shards draw: a shard takes the blocks between its end and that of the shard before.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), _seat(seed, F.col("doc_id"), F.col("text")).alias("seat"))
@@ -130,7 +130,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
         .join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left")
         .withColumn("full", F.when(F.col("extra") > 0, F.coalesce("full", F.lit(0))).otherwise(0))
         .withColumn("quota", F.col("epochs") * F.col("n_blocks") + F.col("full") + F.col("cut").isNotNull().cast("long"))
-        .drop("full_source", "cut_source", "extra")
+        .drop("full_source", "cut_source", "extra", "epochs", "full")
     )
 
     def draw(quotas: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +144,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
 
 
 def _columns() -> dict[str, Column]:
-    return {c: F.col(c) for c in ("n_blocks", "factor", "offset", "epochs", "full", "cut")}
+    return {c: F.col(c) for c in ("n_blocks", "factor", "offset")}
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -155,33 +155,36 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("kl_source"))).drop("kl_source")
 
 
-def _copies(seat: Column) -> Column:
-    """How often the mix takes the document."""
-    source = _columns()
-    position = _position(seat, source)
-    more = (position < source["full"]) | ((position == source["full"]) & F.coalesce(seat <= source["cut"], F.lit(False)))
-    return source["epochs"] + more.cast("long")
+def _draws(seat: Column, cap: float) -> Column:
+    """The shards that draw the document, one for each pass over its source that reaches its block: array of (epoch, shard).
 
+    A block's place in the passes lies between two ends of the shards' quotas, or past the last one, where no shard draws it.
+    Of the last block drawn, only documents up to the cut are taken.
+    """
+    last = F.element_at("ends", -1) - 1
+
+    def draw(epoch: Column) -> Column:
+        place = epoch * F.col("n_blocks") + _position(seat, _columns())
+        shard = F.size(F.filter("ends", lambda end: end <= place))
+        taken = (place < last) | ((place == last) & F.coalesce(seat <= F.col("cut"), F.lit(True)))
+        return F.when(taken, F.struct(epoch.alias("epoch"), shard.alias("shard")))
 
-def _shard(seat: Column, epoch: Column) -> Column:
-    """The shard that draws the document's block in that pass over the source."""
-    place = epoch * F.col("n_blocks") + _position(seat, _columns())
-    return F.size(F.filter("ends", lambda end: end <= place))
+    passes = F.transform(F.sequence(F.lit(0), F.lit(int(cap))).cast("array<bigint>"), draw)
+    return F.filter(passes, lambda drawn: drawn.isNotNull())
 
 
 def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, n_shards: int = 64, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (size times copies), shards of the copies.
+    """One row per document: doc_id, source, size, source_size, target, taken (its words, for each shard that draws it), shards.
 
     Null texts have size 0. Documents of size 0 may be drawn, at no words. Repeated rows share a seat and with it
     their fate. Reruns agree, as do runs on other clusters. No rows give no rows.
     """
     plan, narrow = mixing_plan(docs, weights, cap, n_shards, seed)
-    counted = _with_source(narrow, plan).withColumn("copies", _copies(F.col("seat")))
-    epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return counted.select(
+    drawn = _with_source(narrow, plan).withColumn("draws", _draws(F.col("seat"), cap))
+    return drawn.select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"),
-        F.transform(epochs, lambda e: _shard(F.col("seat"), e)).alias("shards"),
+        (F.col("size") * F.size("draws")).alias("taken"),
+        F.col("draws.shard").alias("shards"),
     )
 
 
@@ -197,9 +200,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc_id, source, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "source", "text"))
     seated = _with_source(plain.withColumn("seat", _seat(seed, doc_id, text)).withColumn("source", source), plan)
-    drawn = seated.withColumn("copies", _copies(F.col("seat"))).where("copies > 0")
-    drawn = drawn.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
-    dealt = drawn.withColumn("shard", _shard(F.col("seat"), F.col("epoch"))).withColumn("turn", F.shiftrightunsigned(F.xxhash64("seat", "epoch"), 1))
+    drawn = seated.withColumn("draw", F.explode(_draws(F.col("seat"), cap)))
+    dealt = drawn.withColumn("shard", F.col("draw.shard")).withColumn("turn", F.shiftrightunsigned(F.xxhash64("seat", "draw.epoch"), 1))
     part = F.shiftright(F.shiftrightunsigned("turn", 32) * parts, 31)
     placed = dealt.repartitionById(n_shards * parts, (F.col("shard") * parts + part).cast("int")).sortWithinPartitions("turn", "seat")
     return placed.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)

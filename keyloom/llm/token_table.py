@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from keyloom.llm.common import settled, shared_folder, shuffle_width, small_batches, texts
+from keyloom.llm.common import bounded_batches, settled, shared_folder, shuffle_width, texts
 from keyloom.session import importable
 
 MAGIC = b"KLSST\x00\x01\n"
@@ -48,22 +49,33 @@ class WordEncoder:
     Where each blank or newline stands alone between two words, the pre-tokenizer ends a piece before it, and a
     blank belongs to the piece after it. So such a text is cut by str.split, which knows all white space that the pattern
     knows; each word is encoded once by the library's model and kept, `limit` words at most, and half as many with
-    signs at their end. Other texts are cut by the pattern. With `added`, a text that holds one of the tokenizer's added
-    tokens is encoded by the library as a whole, which knows that token; without, added tokens in a text are ordinary text.
+    signs at their end. Other texts are cut by the pattern. A text that holds one of the tokenizer's added
+    tokens is encoded by the library as a whole, which knows that token; so are all texts where the file's steps are others than
+    a byte-level pre-tokenizer of this pattern before a BPE model.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, added: bool = False) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         tokenizer = Tokenizer.from_file(path)
         self.tokenizer, self.model = tokenizer, tokenizer.model
-        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
+        self.by_word = self._is_plain(tokenizer)
         self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = {b: c for b, c in enumerate(_byte_letters()) if chr(b) != c}
         self.code, self.blank = "H" if self.dtype.itemsize == 2 else "I", self.letters[32]
         self.limit, self.signed = limit, 0
         self.words: dict[str, bytes] = {}  # after a blank
         self.pieces: dict[str, bytes] = {}  # as they stand
-        self.newline = self.piece("\n")
+        self.newline = self.piece("\n") if self.by_word else b""
+
+    @staticmethod
+    def _is_plain(tokenizer: Tokenizer) -> bool:
+        """Whether the file has the steps that words may be cut and looked up for."""
+        made = json.loads(tokenizer.to_str())
+        before, model = made["pre_tokenizer"] or {}, made["model"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        return bool(plain and made["normalizer"] is None and not made.get("truncation") and model["type"] == "BPE" and not any(map(model.get, odd)))
 
     def piece(self, piece: str) -> bytes:
         """Ids of what the pre-tokenizer gives as one piece."""
@@ -101,7 +113,7 @@ class WordEncoder:
         return b"".join(out)
 
     def __call__(self, text: str) -> bytes:
-        if self.added and self.added.search(text):
+        if not self.by_word or (self.added and self.added.search(text)):
             known = text.encode("utf-8", "replace").decode()
             return array(self.code, self.tokenizer.encode(known, add_special_tokens=False).ids).tobytes()
         words, starts, at = text.split(), [], 0
@@ -125,7 +137,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """One encoder for each vocabulary and Python worker, so that words stay known between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path, added=True)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
@@ -297,7 +309,7 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int | None = 2, folde
     ids unless None. vocabulary: a path that exists on every executor.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     target = f"{folder or shared_folder(spark)}/token-tables-{uuid.uuid4().hex}"
     rows = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -18,9 +19,7 @@ from tests.llm.test_dedup import brute_classes
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(token_table.vocabulary_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(token_table.vocabulary_path())
 
 
 def test_encoder_equals_the_library(tokenizer, texts):
@@ -32,6 +31,16 @@ def test_encoder_equals_the_library(tokenizer, texts):
         assert np.frombuffer(encode(text), encode.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_vocabulary_with_other_steps(texts):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    loaded, encode = Tokenizer.from_file(path), token_table.WordEncoder(path)
+    assert not encode.by_word
+    for text in ["Don't STOP  it's", "a <|endoftext|> b", "", *list(texts.values())[:20]]:
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == loaded.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens_as_the_library_loads_them(spark):
     loaded = Tokenizer.from_file(token_table.vocabulary_path())
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "plain words"), (4, "a  <|endoftext|>\n\ud55c")]
@@ -190,6 +199,45 @@ def test_many_sources_have_several_trees(spark, monkeypatch):
         assert abs(sum(r.taken for r in group) - group[0].target) <= 7
 
 
+def test_taken_words_are_those_that_shards_draw(spark, monkeypatch):
+    table = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('w ', 1 + int(id % 7)) AS text")
+    whole = {r.doc_id: r for r in mixing.mix_counts(table, n_shards=8).collect()}
+    real = mixing.split_quotas
+
+    def lazy(quotas, n_shards, seed):
+        """A tree that deals nothing to the last half of the shards."""
+        dealt = real(quotas, n_shards, seed)
+        dealt[n_shards // 2 :] = 0
+        return dealt
+
+    monkeypatch.setattr(mixing, "split_quotas", lazy)
+    half = {r.doc_id: r for r in mixing.mix_counts(table, n_shards=8).collect()}
+    drawn = sum(r.taken for r in half.values())
+    assert 0 < drawn < 0.7 * sum(r.taken for r in whole.values())
+    assert all(s < 4 for r in half.values() for s in r.shards)
+    # what the first shards draw is the same as before, and nothing else is drawn
+    lost = sum(s >= 4 for r in whole.values() for s in r.shards)
+    assert lost and sum(len(r.shards) for r in half.values()) == pytest.approx(sum(len(r.shards) for r in whole.values()) - lost, abs=20)
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, n, seed: np.zeros((n, len(quotas)), np.int64))
+    assert {r.taken for r in mixing.mix_counts(table, n_shards=8).collect()} == {0}
+
+
+def test_shards_draw_disjoint_blocks_of_their_quotas(spark):
+    table = spark.range(4000).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "repeat('w ', 1 + int(id % 5)) AS text")
+    plan, narrow = mixing.mixing_plan(table, n_shards=8)
+    held = {r.source: r for r in plan.collect()}
+    placed = mixing._with_source(narrow, plan).withColumn("at", mixing._position(F.col("seat"), mixing._columns()))
+    rows = placed.select("doc_id", "source", "at", "n_blocks", "cut", "seat").collect()
+    drawn = {r.doc_id: r.shards for r in mixing.mix_counts(table, n_shards=8).collect()}
+    for r in rows:
+        ends, want = held[r.source].ends, []
+        for epoch in range(4):
+            place = epoch * r.n_blocks + r.at
+            if place < ends[-1] and not (place == ends[-1] - 1 and r.cut is not None and r.seat > r.cut):
+                want.append(next(k for k, end in enumerate(ends) if place < end))
+        assert drawn[r.doc_id] == want
+
+
 def test_splitting_tree():
     quotas = [17, 0, 300, 4]
     shares = mixing.split_quotas(quotas, 10, 3)
@@ -237,6 +285,7 @@ def test_pipeline(spark, docs, texts):
     assert {r.doc_id for r in held["exact_dedup"]} == set(last.values())
     classes = brute_classes([(r.doc_id, r.text) for r in held["exact_dedup"]])
     assert {r.doc_id for r in held["near_dedup"]} == {c for _, c in classes}
+    assert len(held["near_dedup"]) == len({c for _, c in classes})
     words = Counter()
     for r in held["source_mixing"]:
         words[r.doc_id] += len(r.text.split())
