@@ -13,13 +13,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import map_columns, pick, small_batches, texts
+from keyloom.llm.common import bounded_batches, map_columns, pick, texts
 
 #: An image made from a payload is 64 pixels of three 8-bit samples wide: 192 bytes a row.
 WIDTH, ROW = 64, 192
 TILE = 16
 # ITU-R BT.601 luma weights in thousandths.
 LUMA = np.array([299, 587, 114], np.int64)
+#: Samples of one strip of an image that is resized.
+STRIP = 1 << 20
 TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -47,34 +49,48 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 def decode(data: bytes) -> np.ndarray:
     """(H, W, 3) or (H, W) array of a Netpbm (P1 to P6) or an uncompressed 8- or 24-bit BMP image.
 
-    Samples are unsigned bytes, or 16-bit ones where a Netpbm maximum is over 255. Bitmaps P1 and P4
-    give 0 and 255. Anything else raises MediaError.
+    Samples are unsigned bytes, or 16-bit ones where a Netpbm maximum is over 255; other maxima than 255 and 65535 are
+    scaled to those, to the nearest. Bitmaps P1 and P4
+    give 0 and 255. Anything else raises MediaError, and nothing is allocated that the data can't fill.
     """
     try:
         if data[:2] == b"BM":
             return _decode_bmp(data)
         if re.match(rb"P[1-6]\s", data):
             return _decode_netpbm(data)
-    except (IndexError, struct.error, ValueError) as error:
+    except MediaError:
+        raise
+    except (ArithmeticError, LookupError, MemoryError, TypeError, ValueError, struct.error) as error:
         raise MediaError(str(error)) from error
     raise MediaError("neither Netpbm nor BMP")
 
 
+def _number(token: bytes) -> int:
+    if not token.isdigit() or len(token) > 9:
+        raise MediaError("a number is wrong")
+    return int(token)
+
+
 def _decode_netpbm(data: bytes) -> np.ndarray:
     kind, at, numbers = data[1] - 48, 2, []
     while len(numbers) < (2 if kind in (1, 4) else 3):
         token = TOKEN.match(data, at)
         if not token:
             raise MediaError("the header ends early")
-        numbers.append(int(token[1]))
+        numbers.append(_number(token[1]))
         at = token.end()
     width, height, top = [*numbers, 1][:3]
+    if not 1 <= top <= 65535:
+        raise MediaError("the maximum is wrong")
     channels = 3 if kind in (3, 6) else 1
     size = width * height * channels
+    per_sample = {4: 1 / 8, 5: 1 + (top > 255), 6: 1 + (top > 255)}.get(kind, 1)
+    if size * per_sample > len(data):
+        raise MediaError("samples are missing")
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b"", data[at:])
-        values = [c - 48 for c in body if c in b"01"] if kind == 1 else [int(x) for x in body.split()]
-        samples = np.array(values[:size], np.uint16)
+        values = [c - 48 for c in body if c in b"01"] if kind == 1 else [_number(x) for x in body.split()[:size]]
+        samples = np.array(values[:size], np.int64)
     elif kind == 4:
         stride = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride), axis=1)
@@ -83,8 +99,13 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, ">u2" if top > 255 else np.uint8, size, at + 1)
     if len(samples) != size:
         raise MediaError("samples are missing")
+    if size and samples.max() > top:
+        raise MediaError("a sample is over the maximum")
+    full = 65535 if top > 255 else 255
     if kind in (1, 4):
-        samples = (1 - samples) * 255
+        samples = (1 - samples.astype(np.uint8)) * np.uint8(255)
+    elif top != full:
+        samples = (samples.astype(np.int64) * (2 * full) + top) // (2 * top)
     samples = samples.astype(np.uint16 if top > 255 else np.uint8)
     return samples.reshape((height, width, 3) if channels == 3 else (height, width))
 
@@ -95,6 +116,8 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if packing or depth not in (8, 24) or width <= 0:
         raise MediaError("only uncompressed 8- and 24-bit BMP is read")
     stride, rows = -(-width * depth // 32) * 4, abs(height)
+    if offset + stride * rows > len(data):
+        raise MediaError("samples are missing")
     body = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     if height > 0:
         body = body[::-1]
@@ -105,17 +128,27 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return palette[body[:, :width]]
 
 
+def _shrink(table: np.ndarray, size: int) -> np.ndarray:
+    """Means over `size` equal parts of the first axis, by a running integral that is made in strips of bounded size."""
+    length = len(table)
+    edges = np.linspace(0, length, size + 1)
+    low = np.minimum(edges.astype(np.int64), length - 1)
+    part = (edges - low).reshape(-1, *[1] * (table.ndim - 1))
+    at = np.zeros((size + 1, *table.shape[1:]))
+    step = max(1, STRIP // max(1, table[:1].size))
+    before = np.zeros(table.shape[1:])
+    for start in range(0, length, step):
+        strip = table[start : start + step].astype(np.float64)
+        integral = np.concatenate([before[None], before + np.cumsum(strip, 0)])
+        here = (low >= start) & (low < start + step)
+        at[here] = integral[low[here] - start] + part[here] * strip[low[here] - start]
+        before = integral[-1]
+    return np.diff(at, axis=0) * (size / length)
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over the area that each new pixel covers, by an integral image; float64, any ratio in either direction."""
-    table = pixels.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        integral = np.concatenate([np.zeros_like(table.take([0], axis)), np.cumsum(table, axis)], axis)
-        edges = np.linspace(0, table.shape[axis], size + 1)
-        low = np.minimum(edges.astype(np.int64), table.shape[axis] - 1)
-        part = (edges - low).reshape([-1 if k == axis else 1 for k in range(table.ndim)])
-        at = integral.take(low, axis) + part * table.take(low, axis)
-        table = np.diff(at, axis=axis) * (size / table.shape[axis])
-    return table
+    return _shrink(_shrink(pixels, height).swapaxes(0, 1), width).swapaxes(0, 1)
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -124,7 +157,7 @@ def grey(pixels: np.ndarray) -> np.ndarray:
 
 def difference_hash(pixels: np.ndarray) -> int:
     """64 bits: whether each of 8 x 8 grey areas is darker than its right neighbour, on a resized 8 x 9 grid."""
-    small = area_resize(grey(pixels), 8, 9)
+    small = grey(area_resize(pixels, 8, 9))
     bits = small[:, :-1] < small[:, 1:] - 1e-9
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
@@ -136,8 +169,9 @@ def npy(array: np.ndarray) -> bytes:
 
 
 def tile(pixels: np.ndarray, size: int = TILE) -> bytes:
-    """The image area-resized to size x size unsigned bytes, as an NPY file."""
-    return npy(np.rint(area_resize(pixels, size, size)).astype(np.uint8))
+    """The image area-resized to size x size unsigned bytes, as an NPY file; 16-bit samples are brought to 8 bits."""
+    full = 257 if pixels.dtype == np.uint16 else 1
+    return npy(np.rint(area_resize(pixels, size, size) / full).astype(np.uint8))
 
 
 def payload_image(text: str) -> tuple[int, bytes]:
@@ -150,7 +184,7 @@ def payload_image(text: str) -> tuple[int, bytes]:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every whole text stored without loss as an image. Null texts are empty: one row of blanks."""
-    small_batches(docs.sparkSession, 128)
+    bounded_batches(docs.sparkSession)
 
     def store(batch: dict[str, list]) -> Iterator[dict[str, object]]:
         made = [payload_image(t) for t in batch["text"]]
@@ -188,7 +222,7 @@ def _features(media: bytes | None) -> dict[str, object]:
     try:
         pixels = decode(media)
     except MediaError as error:
-        return out | {"error": str(error)}
+        return out | {"error": str(error) or "unreadable"}
     if not pixels.size:
         return out | {"error": "the image is empty"}
     payload = np.ascontiguousarray(pixels).tobytes()
