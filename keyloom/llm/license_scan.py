@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from keyloom.llm.common import map_columns, small_batches, texts
+from keyloom.llm.common import bounded_batches, map_columns, pick, texts
 
 # The phrases that count as base labels.
 BASE = {
@@ -38,6 +38,9 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
+#: Words of all templates; the automaton has two states a word at most.
+MAX_TEMPLATE_WORDS = 500_000
+
 #: A-Z lowered; all other ASCII that is neither letter nor digit made blank. Bytes of other characters are parts of words.
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -135,16 +138,20 @@ class Scan:
 class LicenseScanner:
     """Scans texts for base phrases and for notices.
 
-    Matches of min_match words or more, each as long as it can be, are chained for each template while both sides move on, with
-    gaps of max_gap words at most. A chain that covers min_cover of its template is a span and gives its label.
+    templates: (label, text) pairs; whole licence texts will do. At each word the automaton gives the longest match, and its suffix links the
+    longest one with each template, so no template's match hides another's. Matches of min_match words or more, each as long as
+    it can be, are chained for each template while both sides move on, with gaps of max_gap words at most; of all
+    chains that end in a match the one that covers most counts. A chain that covers min_cover of its template is a span and gives its label.
     """
 
-    def __init__(self, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75) -> None:
+    def __init__(self, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75, templates: list[tuple[str, str]] | None = None) -> None:
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         phrases = [p.encode().split() for p in BASE]
-        self.labels = [label for label, _ in TEMPLATES]
-        self.automaton = SuffixAutomaton([t.encode().split() for _, t in TEMPLATES] + phrases)
+        templates = TEMPLATES if templates is None else templates
+        self.labels = [label for label, _ in templates]
+        self.automaton = SuffixAutomaton([words_of(t) for _, t in templates] + phrases)
         self._mark(phrases)
+        self.places: list[list[tuple[int, int, int]] | None] = [None] * len(self.automaton.states)
 
     def _mark(self, phrases: list[list[bytes]]) -> None:
         """Each state learns the base phrases that end its longest string: those of its own strings and of its suffix links'."""
@@ -158,13 +165,24 @@ class LicenseScanner:
             if state.link > 0:
                 state.phrases.extend(states[state.link].phrases)
 
+    def _places(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, words of it up to here, longest string of the state or its suffix links that ends there), made when first asked for."""
+        if (known := self.places[state]) is None:
+            states, longest, at = self.automaton.states, {}, state
+            while at > 0 and states[at].length >= self.min_match:
+                for template, reached in states[at].ends:
+                    if template < len(self.labels):
+                        longest.setdefault((template, reached), states[at].length)
+                at = states[at].link
+            known = self.places[state] = [(*place, n) for place, n in longest.items()]
+        return known
+
     def scan(self, text: str) -> Scan:
         words, out = words_of(text), Scan()
         out.n_words = len(words)
-        chains: dict[int, list[int]] = {}  # template -> first word, last word, template words reached, words covered
-        held: tuple[int, int, int] | None = None
-        for step in self.automaton.walk(words):
-            position, state, length = step
+        runs: dict[tuple[int, int], list[int]] = {}  # (template, place in the text less place in the template) -> first and last word
+        matches: dict[int, list[tuple[int, int, int]]] = {}  # template -> first and last word, template words reached
+        for position, state, length in self.automaton.walk(words):
             for n, label in self.automaton.states[state].phrases:
                 if length >= n:
                     out.n_base += 1
@@ -172,41 +190,54 @@ class LicenseScanner:
                     out.first = start if out.first is None else min(out.first, start)
                     out.last = start if out.last is None else max(out.last, start)
                     out.base.add(label)
-            if held and (position != held[0] + 1 or length <= held[2]):
-                self._chain(held, chains, out)
-            held = step
-        if held:
-            self._chain(held, chains, out)
-        for template, chain in chains.items():
-            self._close(template, chain, out)
+            if length < self.min_match:
+                continue
+            for template, reached, longest in self._places(state):
+                key = template, position - reached
+                run = runs.get(key)
+                if run and run[1] == position - 1:
+                    run[1] = position
+                    continue
+                if run:
+                    matches.setdefault(template, []).append((run[0], run[1], run[1] - key[1]))
+                runs[key] = [position - min(length, longest) + 1, position]
+        for (template, shift), (start, end) in runs.items():
+            matches.setdefault(template, []).append((start, end, end - shift))
+        for template, found in sorted(matches.items()):
+            self._chain(template, sorted(found), out)
+        out.spans.sort(key=lambda span: span[1:])
         out.labels |= out.base
         out.score = 1.0 if out.base else min(1.0, out.score)
         return out
 
-    def _chain(self, match: tuple[int, int, int], chains: dict[int, list[int]], out: Scan) -> None:
-        end, state, length = match
-        if length < self.min_match:
-            return
-        for template, reached in self.automaton.states[state].ends:
-            if template >= len(self.labels):
-                continue
-            chain = chains.get(template)
-            start, from_word = end - length + 1, reached - length
-            if chain:
-                overlap = max(0, chain[1] + 1 - start, chain[2] - from_word)
-                near = start - chain[1] - 1 <= self.max_gap and from_word - chain[2] <= self.max_gap
-                if near and overlap < length and end > chain[1] and reached > chain[2]:
-                    chain[1], chain[2], chain[3] = end, reached, chain[3] + length - overlap
-                    continue
-                self._close(template, chain, out)
-            chains[template] = [start, end, reached, length]
-
-    def _close(self, template: int, chain: list[int], out: Scan) -> None:
-        cover = chain[3] / self.automaton.sizes[template]
-        out.score = max(out.score, cover)
-        if cover >= self.min_cover:
-            out.labels.add(self.labels[template])
-            out.spans.append((self.labels[template], chain[0], chain[1], cover))
+    def _chain(self, template: int, found: list[tuple[int, int, int]], out: Scan) -> None:
+        """Best chains of a template's matches, by dynamic programming over those that end shortly before; spans don't overlap."""
+        covered, first, open_from = [], [], 0
+        furthest: list[int] = []  # largest end so far
+        for k, (start, end, reached) in enumerate(found):
+            length = end - start + 1
+            best, best_first = length, start
+            furthest.append(max(end, furthest[-1]) if furthest else end)
+            while open_from < k and furthest[open_from] < start - self.max_gap - 1:
+                open_from += 1
+            for j in range(open_from, k):
+                _, before, upto = found[j]
+                overlap = max(0, before + 1 - start, upto - (reached - length))
+                near = start - before - 1 <= self.max_gap and reached - length - upto <= self.max_gap
+                if near and overlap < length and end > before and reached > upto and covered[j] + length - overlap > best:
+                    best, best_first = covered[j] + length - overlap, first[j]
+            covered.append(best)
+            first.append(best_first)
+        size, taken = self.automaton.sizes[template], []
+        for k in sorted(range(len(found)), key=lambda k: (-covered[k], first[k])):
+            cover = min(1.0, covered[k] / size)
+            out.score = max(out.score, cover)
+            if cover < self.min_cover:
+                break
+            if all(found[k][1] < a or first[k] > b for a, b in taken):
+                taken.append((first[k], found[k][1]))
+                out.labels.add(self.labels[template])
+                out.spans.append((self.labels[template], first[k], found[k][1], cover))
 
 
 COLUMNS = (
@@ -215,21 +246,26 @@ COLUMNS = (
 )
 
 
-def scan_licenses(docs: DataFrame, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75) -> DataFrame:
+def scan_licenses(docs: DataFrame, min_match: int = 3, max_gap: int = 6, min_cover: float = 0.75, templates: DataFrame | None = None) -> DataFrame:
     """One row per document, from its whole text; see COLUMNS.
 
+    templates: a table (label, text) of notices or whole licence texts, in place of TEMPLATES; it is read by the driver, and the automaton is made in each
+    worker from it, so more than MAX_TEMPLATE_WORDS words in all are an error. Rows with a null or empty label or text count for nothing.
+
     Words are runs of characters other than ASCII signs, blanks and controls, A-Z lowered. n_base counts all
     places of base phrases, first_word and last_word are their smallest and largest start (null without any). labels has the
     base labels and those of spans, distinct, sorted and joined by commas; empty without any. score is 1
     with a base phrase, else the largest covered share of a template. Null texts are empty. Only the text
     matters: equal texts and repeated rows get equal values. No shuffle; a task holds one batch of texts.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+
+    held = tuple(TEMPLATES) if templates is None else _read_templates(templates)
 
     def run(batch: dict[str, list]) -> Iterator[dict[str, object]]:
-        key = (min_match, max_gap, min_cover)
+        key = (min_match, max_gap, min_cover, held)
         if key not in _SCANNERS:
-            _SCANNERS[key] = LicenseScanner(*key)
+            _SCANNERS[key] = LicenseScanner(min_match, max_gap, min_cover, list(held))
         scans = [_SCANNERS[key].scan(t) for t in batch["text"]]
         yield {
             "doc_id": batch["doc_id"],
@@ -246,4 +282,14 @@ def scan_licenses(docs: DataFrame, min_match: int = 3, max_gap: int = 6, min_cov
     return map_columns(texts(docs), COLUMNS, run)
 
 
+def _read_templates(templates: DataFrame) -> tuple[tuple[str, str], ...]:
+    rows, words = [], 0
+    for row in pick(templates, "label", "text").where("label <> '' AND text <> ''").orderBy("label", "text").toLocalIterator():
+        words += len(words_of(row.text))
+        if words > MAX_TEMPLATE_WORDS:
+            raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
+        rows.append((row.label, row.text))
+    return tuple(rows)
+
+
 _SCANNERS: dict[tuple, LicenseScanner] = {}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import map_columns, pick, settled, small_batches, texts
+from keyloom.llm.common import bounded_batches, map_columns, pick, settled, texts
 from keyloom.llm.license_scan import words_of
 
 
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 8_000, n_features
     with one grade only, the model finds nothing.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     marked = judged(labels)
     labelled = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = class_shares(labelled.get(0, 0), labelled.get(1, 0), sample_docs)
@@ -176,7 +176,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, threshold: float = 0.4
     rows get equal values. The model has a fixed number of words, so what is broadcast doesn't grow.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batch: dict[str, list]) -> Iterator[dict[str, object]]:
