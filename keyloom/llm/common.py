@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,6 +66,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def sieved(rows: DataFrame, value: Column, keys: DataFrame) -> DataFrame:
+    """`rows` with kl_maybe: false for rows whose `value`, a 64-bit hash, is surely none of the hashes in keys (one column).
+
+    So rows that can't meet a key need no shuffle to a join with keys. The hashes mark bits of a bitmap of 16 bits for each key, 2^27 bits (16 MB) at
+    most, which is broadcast whatever the number of keys; beyond 8 million keys it lets more and more rows through, and at last
+    all of them, which the join then has to sort out.
+    """
+    name = keys.columns[0]
+    bits = max(1 << 15, min(1 << 27, 1 << (16 * keys.count()).bit_length()))
+    place = lambda x: F.pmod(x, F.lit(bits)) + 1
+    marks = keys.select(place(F.col(name)).alias("n")).groupBy(F.bitmap_bucket_number("n").alias("kl_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("kl_marks"))  # 4 KB for each of 4096 rows at most
+    placed = rows.withColumn("kl_place", place(value)).withColumn("kl_bucket", F.bitmap_bucket_number("kl_place"))
+    found = placed.join(F.broadcast(marks), "kl_bucket", "left")
+    at = F.bitmap_bit_position("kl_place")
+    byte = F.conv(F.hex(F.substring("kl_marks", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8))), F.lit(2)) >= 1
+    return found.withColumn("kl_maybe", F.coalesce(bit, F.lit(False))).drop("kl_place", "kl_bucket", "kl_marks")
+
+
 def one_row_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose (doc_id, text_md5) isn't in `gone`, one of each such pair, with all their columns as they were.
 
@@ -77,10 +97,14 @@ def one_row_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     doc_id, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
     rest = [c for c, name in zip(plain.columns, names, strict=True) if name not in (id_col, text_col)]
     marked = plain.withColumn("kl_md5", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    doc_id = doc_id.cast(gone.schema["doc_id"].dataType)
     same = doc_id.eqNullSafe(F.col("doc_id")) & (F.col("kl_md5") == F.col("text_md5"))
-    left = marked.join(gone.select("doc_id", "text_md5"), same, "left_anti")
     pairs = marked.select(doc_id.alias("doc_id"), F.col("kl_md5").alias("text_md5")).groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n"))
     again = settled(pairs.where("n > 1").select("doc_id", "text_md5"))
+    gone = settled(gone.select("doc_id", "text_md5"))
+    asked = gone.union(again).select(F.xxhash64("doc_id", "text_md5"))
+    told = sieved(marked, F.xxhash64(doc_id, "kl_md5"), asked)
+    left = told.where("kl_maybe").join(gone, same, "left_anti")
     if not again.isEmpty():
         printed = left.withColumn("kl_print", F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit(0)))
         repeated = printed.join(again, same, "left_semi")
@@ -88,7 +112,8 @@ def one_row_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
         chosen = repeated.join(first, same & (F.col("kl_print") == F.col("first_print")), "left_semi").drop("kl_print")
         once = chosen.groupBy(doc_id.alias("kl_id"), F.col("kl_md5").alias("kl_same")).agg(*[F.first(c).alias(c) for c in plain.columns])
         left = left.join(again, same, "left_anti").select(*plain.columns).unionByName(once.select(*plain.columns))
-    return left.select(*plain.columns).toDF(*names)
+    sure = told.where("NOT kl_maybe").select(*plain.columns)
+    return sure.unionByName(left.select(*plain.columns)).toDF(*names)
 
 
 def rejoin(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

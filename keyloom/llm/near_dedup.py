@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bounded_batches, map_columns, one_row_each, rejoin, settled, texts
+from keyloom.llm.common import bounded_batches, map_columns, one_row_each, rejoin, settled, sieved, texts
 
 #: Signature slots, and the bands that they are cut into.
 SLOTS, BANDS = 192, 32
@@ -234,8 +234,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
 def _packed(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, hashes, counts: the shingles of the nodes in wanted (id); each node's text is read from a row with its smallest doc_id."""
-    rows = texts(docs).withColumn("text_md5", F.unhex(F.md5("text")))
-    named = reps.join(wanted, F.col("rep") == F.col("id")).select("id", "low_id", F.col("text_md5").alias("id_md5"))
+    rows = texts(docs).withColumns({"doc_id": F.col("doc_id").cast("long"), "text_md5": F.unhex(F.md5("text"))})
+    named = settled(reps.join(wanted, F.col("rep") == F.col("id")).select("id", "low_id", F.col("text_md5").alias("id_md5")))
+    rows = sieved(rows, F.xxhash64("doc_id", "text_md5"), named.select(F.xxhash64("low_id", "id_md5"))).where("kl_maybe")
     held = rows.join(named, F.col("doc_id").eqNullSafe(F.col("low_id")) & (F.col("text_md5") == F.col("id_md5")))
     held = held.select("id", "text")
 
