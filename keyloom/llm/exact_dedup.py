@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import one_row_each, rejoin, texts
+from keyloom.llm.common import one_row_each, rejoin, settled, sieved, texts
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_md5.
 
-    Documents are grouped by MD5 (128 bits). Inside a hash group whole texts are compared byte by
-    byte, as keys of the aggregate: texts that collide form groups of their own. Exact copies are
-    combined before the shuffle, so a group of any size sends one row for each task, and the join
-    back to the documents carries hashes only and may be split where a group is large.
+    Documents are grouped by MD5 (128 bits), counted partly before the shuffle. Inside the hash groups of several rows whole texts are compared byte by
+    byte, as keys of an aggregate: texts that collide form groups of their own. Exact copies are
+    combined before that shuffle, so a group of any size sends one row for each task; texts that no other row may equal
+    don't move. The join back to the documents carries hashes only and may be split where a group is large.
 
     keep: "min" or "max", the id of a group that stays. A null text counts as empty. Null ids lose
     against any other; a group of null ids only keeps them. Rows that repeat both id and text are
@@ -24,9 +24,14 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
         raise ValueError("keep must be 'min' or 'max'")
     best = F.min if keep == "min" else F.max
     rows = texts(docs, id_col=id_col, text_col=text_col).withColumn("text_md5", F.unhex(F.md5("text")))
+    hashed = settled(rows.select("doc_id", "text_md5", F.sha2("text", 256).alias("text_sha256")))
+    several = settled(hashed.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("text_md5").alias("hash")))
     compared = (
-        rows.groupBy("text_md5", "text")
+        sieved(rows, F.xxhash64("text_md5"), several)
+        .where("kl_maybe")
+        .groupBy("text_md5", "text")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
         .select("text_md5", F.sha2("text", 256).alias("text_sha256"), "keep_id", "n")
     )
     # Both digests name a text from here on. Should two different texts ever share both, the job stops.
@@ -36,12 +41,13 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
         .otherwise(F.sum("n"))
         .alias("group_size"),
     )
-    hashed = rows.select("doc_id", "text_md5", F.sha2("text", 256).alias("text_sha256"))
-    return rejoin(hashed, groups, ["text_md5", "text_sha256"]).select(
+    joined = rejoin(hashed, groups, ["text_md5", "text_sha256"], "left")
+    keep_id = F.coalesce("keep_id", "doc_id")
+    return joined.select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
         "text_md5",
     )
