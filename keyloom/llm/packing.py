@@ -16,6 +16,8 @@ from keyloom.llm.mixing import word_count
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Documents that are packed together, about; what one task holds.
 SHARD_DOCS = 50_000
+#: Equal rows that go to one shard together.
+COPIES = 256
 COLUMNS = "doc_id long, chunk long, start long, length long, bin_id long, bin_offset long, capacity long"
 
 
@@ -101,16 +103,20 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callab
     Documents longer than the largest capacity are cut into whole bins of it and a rest; nothing is lost. A null, empty or
     blank text is one row of length 0 without a bin. Documents are dealt by hash to shards of about shard_docs
     that are packed alone; only ids and lengths move. Repeated rows are packed as often as they
-    come. The same table gives the same bins in every run. bin_id: shard times 2^32 plus the bin. No rows give no rows.
+    come; they are counted before they move, and dealt by COPIES of them, so no shard has to hold all. The same table gives the same bins in every run. bin_id: shard times 2^32 plus the bin. No rows give no rows.
     """
     shards = max(1, -(-docs.count() // shard_docs))
     rows = pick(docs, "doc_id", "text").select("doc_id", word_count(F.col("text")).alias("length"))
-    dealt = rows.repartitionById(shards, F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards)).cast("int"))
+    counted = rows.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int"))))
+    parts = parts.select("doc_id", "length", F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).alias("copies"), "part")
+    dealt = parts.repartitionById(shards, F.pmod(F.xxhash64("doc_id", "length", "part"), F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, int]] = []
         for batch in batches:
-            held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for doc_id, length, copies in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.extend([(doc_id, length)] * copies)
         out: list[tuple] = []
         for row in pack_shard(held, TaskContext.get().partitionId(), capacities, cost):
             out.append(row)

@@ -163,6 +163,15 @@ def test_packing(odd, docs, empty):
     assert sorted(again, key=repr) == sorted(map(tuple, packing.pack(docs.repartition(3), shard_docs=50).collect()), key=repr)
 
 
+def test_packing_of_one_row_repeated(spark):
+    table = spark.range(3000).selectExpr("IF(id < 2500, NULL, id) AS doc_id", "'a b c' AS text")
+    rows = packing.pack(table, shard_docs=300).collect()
+    assert len(rows) == 3000 and sum(r.length for r in rows) == 9000
+    shards = Counter(r.bin_id >> 32 for r in rows)
+    assert len(shards) > 5 and max(shards.values()) < 1200
+    assert len({(r.bin_id, r.bin_offset) for r in rows}) == 3000
+
+
 def poured(sizes, weights, cap=3):
     """Targets by sharing and sharing again."""
     total, full = sum(sizes.values()), {}
