@@ -152,21 +152,21 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (ahead / x + behind / y)).sum()))
 
 
-def all_bands(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+def all_bands(sets: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS) -> list[np.ndarray]:
     """Band hashes of weighted shingle sets, and for those with repeated shingles the bands of their plain sets as well.
 
     Where nothing repeats both are the same. So two texts share bands by their probability Jaccard similarity, and by
     their plain Jaccard similarity just as well; a link needs either.
     """
     plain = [(k, (h, np.ones(len(h), np.int64))) for k, (h, c) in enumerate(sets) if c.max() > 1]
-    hashes = band_hashes(signatures([*sets, *[s for _, s in plain]]))
+    hashes = band_hashes(signatures([*sets, *[s for _, s in plain]]), bands)
     out = list(hashes[: len(sets)])
     for (k, _), more in zip(plain, hashes[len(sets) :], strict=True):
         out[k] = np.union1d(out[k], more)
     return out
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """doc_id, text_md5, bands, size (number of shingles) of every document; no bands where a text has no word.
 
     A task signs a text once and keeps the result for its copies, of KNOWN texts at most.
@@ -181,7 +181,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             held = 0
 
             def sign(todo=todo, found=found) -> None:
-                for (key, made), hashes in zip(todo.items(), all_bands(list(todo.values())), strict=True):
+                for (key, made), hashes in zip(todo.items(), all_bands(list(todo.values()), bands), strict=True):
                     found[key] = hashes, len(made[0])
                 todo.clear()
 
@@ -421,19 +421,22 @@ def _rest(packed: DataFrame, reps: DataFrame, parts: DataFrame, threshold: float
     return rows.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, class_id, class_size, kept, text_md5.
 
     Texts with equal bytes, by their 128-bit MD5, are one node; nodes are told apart by text, so documents that share an id don't
     share a class by that. Nodes whose word 5-shingles are similar by
     `threshold` or more (see similarity) are linked, and linked nodes are a class, named by its smallest doc_id, whose document
-    stays (of several texts with that id, the smallest MD5). ProbMinHash with 192 slots in 32 bands misses a pair of either similarity 0.8 with probability 6e-5. Texts
+    stays (of several texts with that id, the smallest MD5). ProbMinHash with 192 slots in 32 bands misses a pair of either similarity 0.8 with probability 6e-5; bands, a divisor of 192, has
+    to rise for lower thresholds: 64 bands miss a pair of 0.5 with probability 2e-4. Texts
     without a word have no shingles; only equal ones share a class. Null texts are empty. Null ids lose against any other; a class
     of null ids only has a null class_id and keeps a row all the same. Rows that repeat id and text share their fate here; drop_near_copies leaves one
     of them. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
-    signed = settled(_signed(docs))
+    if SLOTS % bands:
+        raise ValueError(f"bands must divide {SLOTS}")
+    signed = settled(_signed(docs, bands))
     node = signed.groupBy("text_md5").agg(
         F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size")
     )
@@ -456,7 +459,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return rows.select("doc_id", "class_id", "class_size", kept.alias("kept"), "text_md5")
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
     """One document of each class, with all its columns as they were; see near_classes and one_row_each."""
-    gone = near_classes(docs, threshold).where(~F.col("kept")).select("doc_id", "text_md5").distinct()
+    gone = near_classes(docs, threshold, bands).where(~F.col("kept")).select("doc_id", "text_md5").distinct()
     return one_row_each(docs, gone)

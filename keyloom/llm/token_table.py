@@ -339,6 +339,16 @@ def write_tables(docs: DataFrame, vocabulary: str, end_id: int | None = 2, folde
     return settled(rows.mapInArrow(write, MANIFEST))
 
 
+def remove_strays(manifest: DataFrame, folder: str) -> int:
+    """Delete the files of a folder of tables that the manifest doesn't name: those of attempts that failed. Returns how many."""
+    named = {r.path.rsplit("/", 1)[-1] for r in manifest.select("path").toLocalIterator()}
+    system, base = pafs.FileSystem.from_uri(folder)
+    strays = [f.path for f in system.get_file_info(pafs.FileSelector(base)) if f.base_name not in named]
+    for path in strays:
+        system.delete_file(path)
+    return len(strays)
+
+
 def read_tables(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files that the manifest names.
 

@@ -295,4 +295,6 @@ def test_recall_by_similarity(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = np.array([got[2 * k + 1] == 2 * k for k in range(400)])
     pairs = np.array(pairs)
+    lower = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 0.5, 64).collect()}
+    assert all(lower[2 * k + 1] == 2 * k for k in range(400) if pairs[k] >= 0.5)
     assert (pairs >= 0.8).sum() > 100 and found[pairs >= 0.8].all() and not found[pairs < 0.75].any()

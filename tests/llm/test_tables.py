@@ -81,6 +81,14 @@ def test_token_tables(odd, docs, empty, tokenizer):
     assert token_table.read_tables(token_table.write_tables(empty, token_table.vocabulary_path())).count() == 0
 
 
+def test_strays_go(spark, docs, tmp_path):
+    manifest = token_table.write_tables(docs, token_table.vocabulary_path(), folder=f"file://{tmp_path}")
+    folder = manifest.first().path.rsplit("/", 1)[0]
+    (tmp_path / folder.rsplit("/", 1)[-1] / "part-000000-failed.sst").write_bytes(b"x")
+    assert token_table.remove_strays(manifest, folder) == 1 and token_table.remove_strays(manifest, folder) == 0
+    assert token_table.read_tables(manifest).count() == docs.count()
+
+
 def test_token_table_file(tmp_path):
     path = tmp_path / "one.sst"
     values = {k * 3: np.arange(k % 700, dtype="<u2") for k in range(3000)}
