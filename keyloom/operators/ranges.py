@@ -70,7 +70,8 @@ def fix_ranges(df: DataFrame, by: list[str], count: int | None = None) -> Ranges
     keys = df.select(*by)
     total = keys.count()
     share = SAMPLE * want / max(total, 1)
-    rows = (keys if share >= 1 else keys.sample(share, seed=1)).orderBy(*ordering(by)).collect()
+    some = keys if share >= 1 else keys.sample(share, seed=1)
+    rows = some.repartition(1).sortWithinPartitions(*ordering(by)).collect()  # SAMPLE * MAX_RANGES rows at most, about
     cuts = [tuple(rows[len(rows) * k // want]) for k in range(1, want)] if rows else []
     width = next((w for w in range(1, len(by)) if len({repr(c[:w]) for c in cuts}) == len(cuts)), len(by))
     return Ranges(tuple(keys.schema.fields[:width]), tuple(c[:width] for c in cuts))

@@ -76,14 +76,13 @@ def block_sets(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def subset_weights(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """block_ids, keys_count, records_count, weight: keys grouped by the blocks that hold them, best first.
+    """block_ids, keys_count, records_count, weight: keys grouped by the blocks that hold them, in no order.
 
-    The weight is the group's rows for each block still to read; the order is by weight, then fewer blocks, then the blocks' names.
+    The weight is the group's rows for each block still to read; the planner ranks by weight, then fewer blocks, then the blocks' names.
     """
     sets = block_sets(stats, keys).where(F.size("block_ids") > 0)
     groups = sets.groupBy("block_ids").agg(F.count(F.lit(1)).alias("keys_count"), F.sum("records_count").alias("records_count"))
-    weighed = groups.withColumn("weight", F.col("records_count") / F.size("block_ids"))
-    return weighed.orderBy(F.desc("weight"), F.size("block_ids"), "block_ids")
+    return groups.withColumn("weight", F.col("records_count") / F.size("block_ids"))
 
 
 def completion_sequential(stats: DataFrame, keys: list[str]) -> DataFrame:
