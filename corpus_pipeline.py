@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from keyloom.llm.common import documents, shared_folder
+from keyloom.llm.common import documents, remove, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each written as Parquet to the shared folder and read again."""
+    """Apply the stages to documents, each written as Parquet to the shared folder and read again.
+
+    A stage's folder goes once the next one is written; the last one's stays, as the result is read from it.
+    """
     docs = documents(spark, sf_dir)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
 
 
