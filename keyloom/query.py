@@ -28,6 +28,7 @@ class ExecOptions:
     batch_per_key: bool = False
     read_only: bool = False
     query_timeout: float | None = None  # seconds
+    max_output_batches_buffer_size: int | None = None  # rows that wait for the reader, about; None or 0: no bound but two partitions
     spread_keys: bool | None = False  # deal large keys over tasks; None: where one is found
     sortmerge_batch_size: int = 10_000
     pessimistic_shuffle_strategy: bool = False
@@ -35,7 +36,6 @@ class ExecOptions:
     max_threads: int | None = None
     keep_dumps: bool = False
     parallel_dumping: bool = True
-    max_output_batches_buffer_size: int | None = None
     pandas_sort_algorithm: str = "mergesort"
     use_external_address_mq_messages: bool = False
 
@@ -147,7 +147,8 @@ class OrderedQuery:
     def batches(self) -> Iterator[pd.DataFrame]:
         """pandas batches that never split a key; see streaming.delivery."""
         numbered, order = self._delivered()
-        return batches(numbered, self.partition_by, order, self.options.output_batch_max_size, self.options.batch_per_key)
+        options = self.options
+        return batches(numbered, self.partition_by, order, options.output_batch_max_size, options.batch_per_key, options.max_output_batches_buffer_size)
 
     def statistics(self, block: Column | None = None) -> DataFrame:
         """block_id, node_id, dataset_id, keys, count; a scan of the key columns only."""

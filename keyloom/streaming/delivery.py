@@ -135,15 +135,16 @@ def ipc_bytes(table: pa.Table) -> bytes:
 
 
 def packed_batches(
-    df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False, max_bytes: int = PAYLOAD_BYTES
+    df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False, max_bytes: int = PAYLOAD_BYTES, parts: int | None = None
 ) -> DataFrame:
     """Batches as rows (part, batch_no, piece, last, n_rows, n_keys, payload), payload in Arrow's stream format; to be fetched or written.
 
     A batch has one row for each piece of max_bytes about, the final one marked by `last`, which also counts the batch's keys. Rows come
-    sorted by key and order; the exchange and sort of a numbered input are used again.
+    sorted by key and order; the exchange and sort of a numbered input are used again, unless `parts` asks for a number of partitions.
     """
     importable(df.sparkSession)
-    arranged = df.repartition(*keys).sortWithinPartitions(*ordering([*keys, *order_by]))
+    dealt = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+    arranged = dealt.sortWithinPartitions(*ordering([*keys, *order_by]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, piece = TaskContext.get().partitionId(), 0, 0
@@ -169,9 +170,20 @@ def _joined(rows: Iterator) -> Iterator[pd.DataFrame]:
             held = []
 
 
-def batches(df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False) -> Iterator[pd.DataFrame]:
-    """pandas batches, one Spark partition after another; the next is computed while one is read, no more, so a slow reader holds Spark back."""
-    yield from _joined(packed_batches(df, keys, order_by, limit, batch_per_key).toLocalIterator(prefetchPartitions=True))
+def batches(
+    df: DataFrame, keys: list[str], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False, buffer_rows: int | None = None
+) -> Iterator[pd.DataFrame]:
+    """pandas batches, one Spark partition after another; the next is computed while one is read, no more, so a slow reader holds Spark back.
+
+    buffer_rows bounds the rows that wait for the reader: partitions are made as small as that, about, and none is computed ahead. A larger
+    key is still one partition.
+    """
+    parts = None
+    if buffer_rows:
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(usual, -(-df.count() // buffer_rows))
+    packed = packed_batches(df, keys, order_by, limit, batch_per_key, parts=parts)
+    yield from _joined(packed.toLocalIterator(prefetchPartitions=not buffer_rows))
 
 
 def deliver(df: DataFrame, keys: list[str], on_batch: Callable[[pd.DataFrame], None], order_by: list[str] = (), limit: int | None = None, batch_per_key: bool = False) -> int:

@@ -130,6 +130,22 @@ def test_pieces_join_again(spark):
     assert sum(len(b) for b in batches(rows.limit(0), ["k"])) == 0
 
 
+def test_rows_that_wait_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 20_000, 1, 4).select((F.col("id") % 4000).alias("k"), "id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    most, seen, ids = 0, 0, set()
+    for batch in batches(rows, ["k"], ["id"], 50, buffer_rows=500):
+        seen += len(batch)
+        ids |= set(batch["k"])
+        most = max(most, len(batch))
+    assert seen == 20_000 and most <= 50 and len(ids) == 4000
+    parts = packed_batches(spark.read.parquet(path), ["k"], ["id"], 50, parts=40).groupBy("part").agg(F.sum("n_rows").alias("n")).collect()
+    assert len(parts) == 40 and max(r.n for r in parts) < 1500
+    options = ExecOptions(output_batch_max_size=50, max_output_batches_buffer_size=500)
+    assert OrderedQuery(spark, [DatasetSpec(path)], ["k"], ["id"], options=options).execute() == 20_000
+
+
 def test_partition_folders(spark, tmp_path):
     path = str(tmp_path / "parts")
     spark.range(1000).withColumn("p", F.col("id") % 4).repartition("p").write.partitionBy("p").parquet(path)
