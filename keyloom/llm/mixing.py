@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import pick, settled
+from keyloom.operators.external import sorted_position
 
 #: Most blocks of a source (a power of two), and documents that a block of a small source has.
 MAX_BLOCKS, BLOCK_DOCS = 4096, 16
@@ -41,24 +42,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
 
     In code point order, null last, the sources weigh `weights`, repeating. They share the sum of all sizes by
     weight; none gets more than cap times its size, and what is above goes to the others by weight until
-    none is above. That is one water level: sorted by cap * size / weight, the first sources are full, and the level
-    follows from running sums.
+    none is above. That is one water level: each pass over the sources sums those that it fills, which lifts it for the others, until it fills no more.
+    Sums are decimal, so they are exact in any order. No step brings all sources to one task.
     """
-    totals = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank, F.lit(len(weights))) + 1)
-    weighed = totals.withColumn("place", rank.cast("long")).withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.asc_nulls_last("source"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = weighed.withColumn("level", level)
-    # The level that counts is the first, and highest, that the source at its place is not full at.
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    water = F.max(fits).over(everything)
-    target = F.least(F.col("most"), F.coalesce(water * F.col("weight"), F.col("most")))
-    return levels.select("source", "place", "n_docs", "source_size", target.alias("target"))
+    totals = settled(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")))
+    placed = sorted_position(totals, ["source"], "place").withColumn("place", F.col("place") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("place"), F.lit(len(weights))).cast("int") + 1)
+    weighed = settled(placed.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size")))
+    exact = lambda c: F.col(c).cast("decimal(30,6)")
+    level, full = 0.0, -1
+    while True:
+        over = F.lit(full >= 0) & (F.col("weight") * F.lit(level) > F.col("most"))
+        now = weighed.agg(
+            F.sum("source_size").alias("everything"),
+            F.sum(F.when(over, exact("most"))).alias("filled"),
+            F.sum(F.when(~over, exact("weight"))).alias("open"),
+            F.coalesce(F.sum(over.cast("int")), F.lit(0)).alias("full"),
+        ).first()
+        if now.full == full or not now.open:
+            break
+        level, full = float((now.everything - (now.filled or 0)) / now.open), now.full
+    water = F.col("weight") * F.lit(level)
+    target = F.least("most", water) if full >= 0 else F.col("most")
+    return weighed.select("source", "place", "n_docs", "source_size", target.alias("target"))
 
 
 def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:

@@ -205,6 +205,20 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
+def test_targets_of_many_sources(spark):
+    """Sizes that fill one after another; the plan brings no exchange of all sources to one task."""
+    draw = random.Random(3)
+    sizes = {f"s{k:04}": int(1.7 ** draw.uniform(0, 40)) for k in range(1500)} | {None: 10**9}
+    weights = {s: (1, 2, 3)[k % 3] for k, s in enumerate([*sorted(n for n in sizes if n), None])}
+    found = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long"))
+    got = {r.source: r.target for r in found.collect()}
+    want = poured(sizes, weights)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    nothing = spark.createDataFrame([("a", 0), (None, 0)], "source string, size long")
+    assert {r.target for r in mixing.source_targets(nothing).collect()} == {0.0} and mixing.source_targets(nothing.limit(0)).count() == 0
+
+
 def test_many_sources_have_several_trees(spark, monkeypatch):
     monkeypatch.setattr(mixing, "TREE_SOURCES", 3)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
