@@ -25,6 +25,7 @@ SLACK = 1e-3
 # Odd 64-bit constants of the splitmix generator and of the polynomial hash.
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x100000001B3
+INVERSE = pow(BASE, -1, 1 << 64)
 #: A-Z lowered; ASCII that is neither letter nor digit parts words.
 FOLD = np.array([b | 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 
@@ -46,6 +47,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """As _powers, from a table that grows to the longest pass so far: PASS_BYTES and one word, about."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = _powers(base, max(n, 1 << 14))
+    return _POWERS[base][:n]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 text, in order."""
     folded = FOLD[np.frombuffer(data, np.uint8)]
@@ -53,10 +64,8 @@ def word_hashes(data: bytes) -> np.ndarray:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
-        powers = _powers(BASE, len(folded))
-        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * powers, dtype=np.uint64)])
-        inverse = _powers(pow(BASE, -1, 1 << 64), len(folded))
-        return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * powers(BASE, len(folded)), dtype=np.uint64)])
+        return mix((running[ends] - running[starts]) * powers(INVERSE, len(folded))[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
 
 
 def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +120,10 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
             state = state + GOLDEN
             bits = mix(state)
             clock = clock - np.log1p(-((bits >> np.uint64(12)).astype(np.float64) * 2.0**-52)) / rate
-            latest = first.reshape(n_sets, slots).max(axis=1)
-            soon = clock < latest[owner]
+            # owners are sorted; only sets that still have elements are looked at
+            new = np.concatenate([[True], owner[1:] != owner[:-1]])
+            latest = first.reshape(n_sets, slots)[owner[new]].max(axis=1)
+            soon = clock < latest[np.cumsum(new) - 1]
             if not soon.all():
                 alive, owner, rate, clock, state, bits = (x[soon] for x in (alive, owner, rate, clock, state, bits))
             # the low 12 bits would be too few for an even choice of slots; mix again
