@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -196,26 +198,59 @@ def deliver(df: DataFrame, keys: list[str], on_batch: Callable[[pd.DataFrame], N
 
 
 class StoredBatches:
-    """Batches written to a folder, so that all rows are made before any is taken; each is handed out once, by its place or in turn."""
+    """Batches written to a folder, so that all rows are made before any is taken; each is handed out once, by its place or in turn.
+
+    Places count the batches from 0, part by part. The driver holds how many batches each part has, and which were taken out of turn.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        index = spark.read.parquet(folder).where("last").select("part", "batch_no").orderBy("part", "batch_no")
-        self.waiting = {k: (r["part"], r["batch_no"]) for k, r in enumerate(index.toLocalIterator())}
+        sizes = self._read().where("last").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        found = sorted((r["part"], r["n"]) for r in sizes.collect())  # one row a partition
+        self.parts = [part for part, _ in found]
+        self.ends = list(accumulate(n for _, n in found))
+        self.done, self.ahead = 0, set()  # all places before `done` are taken, and those in `ahead`
 
     @classmethod
     def write(cls, packed: DataFrame, folder: str) -> StoredBatches:
         packed.write.partitionBy("part").parquet(folder)
         return cls(packed.sparkSession, folder)
 
+    def __len__(self) -> int:
+        """How many batches there are, taken ones too."""
+        return self.ends[-1] if self.ends else 0
+
+    def _take(self, place: int) -> bool:
+        """Whether the place has a batch that wasn't taken; it is from now on."""
+        if not self.done <= place < len(self) or place in self.ahead:
+            return False
+        self.ahead.add(place)
+        while self.done in self.ahead:
+            self.ahead.remove(self.done)
+            self.done += 1
+        return True
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(self.folder)  # a query without rows writes no file to take it from
+
+    def _rows(self, part: int, low: int, high: int) -> DataFrame:
+        rows = self._read().where((F.col("part") == self.parts[part]) & F.col("batch_no").between(low, high - 1))
+        return rows.orderBy("batch_no", "piece")
+
     def fetch(self, place: int) -> pd.DataFrame | None:
         """The batch at that place, from 0; None where it has been taken, or never was."""
-        if (at := self.waiting.pop(place, None)) is None:
+        if not self._take(place):
             return None
-        rows = self.spark.read.parquet(self.folder).where((F.col("part") == at[0]) & (F.col("batch_no") == at[1]))
-        return next(_joined(rows.orderBy("piece").toLocalIterator()))
+        part = bisect_right(self.ends, place)
+        number = place - (self.ends[part - 1] if part else 0)
+        return next(_joined(self._rows(part, number, number + 1).toLocalIterator()))
 
     def __iter__(self) -> Iterator[pd.DataFrame]:
-        while self.waiting:
-            if (batch := self.fetch(min(self.waiting))) is not None:
-                yield batch
+        """The batches that weren't taken, in order, by one job for each part; others may fetch meanwhile."""
+        while self.done < len(self):
+            part = bisect_right(self.ends, self.done)
+            start, end = self.ends[part - 1] if part else 0, self.ends[part]
+            first = self.done
+            for place, batch in enumerate(_joined(self._rows(part, first - start, end - start).toLocalIterator()), first):
+                if self._take(place):
+                    yield batch

@@ -20,7 +20,7 @@ from keyloom.operators.spread import has_hot_key, number_rows_spread
 from keyloom.plans.statistics import heaviest_owners
 from keyloom.query import ExecOptions, OrderedQuery
 from keyloom.sources.datasets import ORIGIN, DatasetSpec, block_files, list_files, load, read_blocks, register_format, shard_files
-from keyloom.streaming.delivery import batches, deliver, open_payload, pack_keys, pack_pieces, packed_batches
+from keyloom.streaming.delivery import StoredBatches, batches, deliver, open_payload, pack_keys, pack_pieces, packed_batches
 
 
 @pytest.fixture(scope="module")
@@ -197,6 +197,22 @@ def test_submitted_query(spark, tmp_path):
     assert "q1" not in manager.queries
 
 
+def test_stored_batches_in_and_out_of_turn(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 600).alias("k"), "id")
+    stored = StoredBatches.write(packed_batches(rows, ["k"], ["id"], batch_per_key=True), str(tmp_path / "a"))
+    assert len(stored) == 600
+    keys = [stored.fetch(k)["k"].iloc[0] for k in (5, 0, 599)]
+    assert stored.fetch(5) is None and stored.fetch(600) is None and stored.fetch(-1) is None
+    for n, batch in enumerate(stored):
+        assert len(batch) == 5 and batch["k"].nunique() == 1 and batch["id"].is_monotonic_increasing
+        keys.append(batch["k"].iloc[0])
+        if n == 100:
+            keys.append(stored.fetch(300)["k"].iloc[0])
+    assert sorted(keys) == list(range(600)) and stored.done == 600 and not stored.ahead and not list(stored)
+    nothing = StoredBatches.write(packed_batches(rows.limit(0), ["k"]), str(tmp_path / "b"))
+    assert len(nothing) == 0 and nothing.fetch(0) is None and not list(nothing)
+
+
 def test_cancel_stops_later_actions(spark):
     manager, counted = QueryManager(spark), []
 
