@@ -44,12 +44,15 @@ class Ranges:
             held = [F.struct(*[c for k in range(width) for c in both(F.lit(b[k] is None), value(b, k), k)]) for b in self.bounds]
         held, steps = F.array(*held), F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
 
-        def step(at: Column, more: Column) -> Column:
+        # The key comes in by the first state: where only a lambda's body names a column, Spark takes the expression for one without
+        # columns, and copies it as a filter to the other side of a join on the range, which has no such column.
+        def step(state: Column, more: Column) -> Column:
+            at, mine = state["at"], state["key"]
             bound = F.element_at(held, F.least(at + more, F.lit(most)))
-            passed = F.coalesce(bound < key if strict else bound <= key, F.lit(True))  # a null value is above all
-            return F.when((at + more <= most) & passed, at + more).otherwise(at)
+            passed = F.coalesce(bound < mine if strict else bound <= mine, F.lit(True))  # a null value is above all
+            return F.struct(F.when((at + more <= most) & passed, at + more).otherwise(at).alias("at"), mine.alias("key"))
 
-        return F.aggregate(steps, F.lit(0), step)
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), key.alias("key")), step, lambda state: state["at"])
 
     def number(self) -> Column:
         """A row's range, 0 to count - 1."""

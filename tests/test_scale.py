@@ -62,6 +62,19 @@ def test_ranges_of_any_type(spark, kind):
     assert both.count() == 3000 and both.where("row_number <> w").count() == 0
 
 
+def test_positions_of_one_key_column_of_a_checkpointed_table(spark, tmp_path):
+    """Spark may infer filters from a range's expression for either side of a join on it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(str(tmp_path))
+    rows = spark.range(2000).selectExpr("id", "concat('s', id % 11) AS name", "id % 7 AS size").checkpoint()
+    names = rows.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size")).checkpoint()
+    got = [r.name for r in sorted_position(names, ["name"], "place").orderBy("place").collect()]
+    assert got == sorted(f"s{k}" for k in range(11))
+    numbered = number_rows_spread(names, ["name"], ["count"], slices=3).collect()
+    assert len(numbered) == 11 and {r.row_number for r in numbered} == {1}
+
+
 @pytest.mark.parametrize("hot", [0.0, 0.4, 1.0])
 def test_spread_keys(spark, hot):
     key = F.when(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(hot * 1000), F.lit("hot")).when(F.col("id") % 9 == 0, F.lit(None)).otherwise((F.col("id") % 300).cast("string"))
