@@ -12,6 +12,8 @@ from keyloom.operators.external import sorted_position
 
 #: Most blocks of a source (a power of two), and documents that a block of a small source has.
 MAX_BLOCKS, BLOCK_DOCS = 4096, 16
+#: Neighbouring blocks whose words are summed together first.
+SPAN = 64
 #: Documents of one sorted part of a shard, about.
 PART_DOCS = 50_000
 #: Sources up to which their table is broadcast, and sources that share one tree; each further so many have a tree of their own.
@@ -87,6 +89,22 @@ def split_quotas(quotas: list[int], n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _with_words_before(blocks: DataFrame) -> DataFrame:
+    """Blocks (source, position, words) with the words of their source's blocks ahead of them: `before`.
+
+    Sums run inside spans of SPAN neighbouring blocks first, and then over the spans of a source, so no task has to take all
+    blocks of a source, only as many spans.
+    """
+    spanned = blocks.withColumn("span", F.floor(F.col("position") / SPAN))
+    inside = Window.partitionBy("source", "span").orderBy("position")
+    spans = spanned.groupBy("source", "span").agg(F.sum("words").alias("span_words"))
+    ahead = F.sum("span_words").over(Window.partitionBy("source").orderBy("span")) - F.col("span_words")
+    starts = spans.select(F.col("source").alias("span_source"), F.col("span").alias("span_at"), ahead.alias("start"))
+    run = spanned.withColumn("run", F.sum("words").over(inside) - F.col("words"))
+    joined = run.join(starts, F.col("source").eqNullSafe(F.col("span_source")) & (F.col("span") == F.col("span_at")))
+    return joined.select(*blocks.columns, (F.col("start") + F.col("run")).alias("before"))
+
+
 def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, n_shards: int = 64, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The plan by source and the narrow table (doc_id, source, size, seat) that it was made from, both checkpointed.
 
@@ -116,8 +134,7 @@ def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     joined = _with_source(narrow, shaped)
     placed = joined.withColumn("position", _position(F.col("seat"), _columns()))
     blocks = placed.groupBy("source", "position").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
-    order = Window.partitionBy("source").orderBy("position")
-    running = blocks.withColumn("before", F.sum("words").over(order) - F.col("words"))
+    running = _with_words_before(settled(blocks))
     last = running.where((F.col("before") < F.col("extra")) & (F.col("before") + F.col("words") > F.col("extra"))).select(
         F.col("source").alias("last_source"), F.col("position").alias("last_position"), (F.col("extra") - F.col("before")).alias("rest")
     )

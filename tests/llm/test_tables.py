@@ -253,6 +253,14 @@ def test_taken_words_are_those_that_shards_draw(spark, monkeypatch):
     assert {r.taken for r in mixing.mix_counts(table, n_shards=8).collect()} == {0}
 
 
+def test_words_before_blocks(spark):
+    draw = random.Random(5)
+    blocks = [(s, p, draw.randint(0, 9)) for s, n in (("a", 1000), ("b", 1), ("c", 64), ("d", 65), (None, 130)) for p in range(n) if p % 7 or n == 1]
+    found = mixing._with_words_before(spark.createDataFrame(blocks, "source string, position long, words long"))
+    want = [(s, p, w, sum(x for t, q, x in blocks if t == s and q < p)) for s, p, w in blocks]
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+
+
 def test_shards_draw_disjoint_blocks_of_their_quotas(spark):
     table = spark.range(4000).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "repeat('w ', 1 + int(id % 5)) AS text")
     plan, narrow = mixing.mixing_plan(table, n_shards=8)
