@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from keyloom.session import importable, shared_folder
+from keyloom.session import importable, remove, shared_folder
 
 #: Fixed value: the ASCII white space that the contracts name, `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,12 +54,6 @@ def settled(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of any store that Spark writes to, if it's there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that a Python worker's memory stays bounded.
 

@@ -157,8 +157,8 @@ class OrderedQuery:
         grouped = block_statistics(table, F.col("block_id"), ["dataset_id", *self.partition_by], F.col("node_id"))
         return grouped
 
-    def plan(self, block: Column | None = None, memory_only: bool = False, max_statistics: int = 2_000_000, **heuristic_options: object) -> QueryPlan:
-        """Owners, read order and projected spill; reads the key columns once."""
+    def plan(self, block: Column | None = None, memory_only: bool = False, max_statistics: int | None = None, **heuristic_options: object) -> QueryPlan:
+        """Owners, read order and projected spill, from the key columns. More than max_statistics counts of keys in blocks, where given, raise PlanTooLarge."""
         return build_plan(
             self.spark, self.datasets, self.statistics(block), self.partition_by, self.memory_limit, self.heuristic, memory_only,
             self.options.pessimistic_shuffle_strategy, self.options.sortmerge_batch_size, max_statistics, **heuristic_options,
