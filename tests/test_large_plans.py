@@ -55,3 +55,7 @@ def test_spill_from_tables(spark, monkeypatch, seed, limit, batch, pessimistic):
         build_plan(spark, [], stats, ["x", "y"], limit, "sequential", True, pessimistic, in_memory=0)
     assert str(one.value) == str(other.value)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_random_order_from_tables(spark):
+    same(*both(spark, statistics(spark, 7, n_blocks=6, n_nodes=2), ["x", "y"], None, "random", seed=11))
