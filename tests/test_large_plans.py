@@ -59,3 +59,7 @@ def test_spill_from_tables(spark, monkeypatch, seed, limit, batch, pessimistic):
 
 def test_random_order_from_tables(spark):
     same(*both(spark, statistics(spark, 7, n_blocks=6, n_nodes=2), ["x", "y"], None, "random", seed=11))
+
+
+def test_sequential_order_from_tables(spark):
+    same(*both(spark, statistics(spark, 8, n_blocks=6, n_nodes=2), ["y"], None, "sequential"))
