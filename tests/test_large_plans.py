@@ -63,3 +63,13 @@ def test_random_order_from_tables(spark):
 
 def test_sequential_order_from_tables(spark):
     same(*both(spark, statistics(spark, 8, n_blocks=6, n_nodes=2), ["y"], None, "sequential"))
+
+
+def test_groups_of_keys_on_the_driver_and_in_a_table(spark):
+    # 300 keys in 8 groups of the same blocks: 2,100 counts
+    rows = [(f"b{b}", f"n{b % 2}", k, 1 + k % 3) for k in range(300) for b in range(8) if b != k % 8]
+    stats = spark.createDataFrame(rows, "block_id string, node_id string, k int, count bigint").cache()
+    near = build_plan(spark, [], stats, ["k"])
+    for most in (2_000, 200):
+        far = build_plan(spark, [], stats, ["k"], in_memory=most)
+        same(near, far)
